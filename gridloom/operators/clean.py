@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import times
 from gridloom.operators.fill import akima
 from gridloom.operators.ordered import in_order
+from gridloom.operators.resample import hourly_mean
 
 SUNDAY = 7
 
@@ -61,30 +62,27 @@ def switch_rejects(df: DataFrame, switch_weekday: int = SUNDAY) -> DataFrame:
     return lost.select(*[c if c in ("series", "ts") else f"_row.{c}" for c in df.columns])
 
 
-def fix_half_days(df: DataFrame) -> DataFrame:
+def fix_half_days(df: DataFrame, *, only_where_found: bool = False) -> DataFrame:
     """Times written on a 12-hour clock without AM/PM, put right in order of ``seq``.
 
     Hour 12 counts as 0; from the point where the hour goes down within a day, 12 hours are added
-    until the date changes.
+    until the date changes. With ``only_where_found``, series whose hour never goes down within a
+    day keep their times.
     """
     half = F.col("ts") - F.expr("interval 12 hours")
     clock = df.withColumn("_t", F.when(F.hour("ts") == 12, half).otherwise(F.col("ts")))
-    steps = in_order(clock, ["series"], ["seq"]).near(1, lambda w: {"_prev": F.lag("_t").over(w)})
-    new_day = F.col("_prev").isNull() | (F.to_date("_t") != F.to_date("_prev"))
-    down = F.hour("_t") < F.hour("_prev")
+    before = lambda w: {"_p": F.lag("_t").over(w), "_raw": F.lag("ts").over(w)}
+    steps = in_order(clock, ["series"], ["seq"]).near(1, before)
+    new_day = F.col("_p").isNull() | (F.to_date("_t") != F.to_date("_p"))
+    down = F.hour("_t") < F.hour("_p")
     shift = F.when(new_day, F.lit(0)).when(down, F.lit(12))
-    filled = steps.over(steps.df.withColumn("_shift", shift)).fill("_shift", "_hours").result()
-    hours = F.make_dt_interval(hours=F.col("_hours"))
-    return filled.withColumn("ts", (F.col("_t") + hours).cast("timestamp_ntz")).select(*df.columns)
-
-
-def has_half_days(df: DataFrame) -> DataFrame:
-    """Per series: does the hour ever go down within one day, in order of ``seq``?"""
-    steps = in_order(df, ["series"], ["seq"]).near(1, lambda w: {"_prev": F.lag("ts").over(w)})
-    back = (F.hour("ts") < F.hour("_prev")) & (F.to_date("ts") == F.to_date("_prev"))
-    return steps.df.groupBy("series").agg(
-        F.coalesce(F.max(back), F.lit(False)).alias("half_days")
-    )
+    filled = steps.over(steps.df.withColumn("_shift", shift)).fill("_shift", "_hours")
+    ts = (F.col("_t") + F.make_dt_interval(hours=F.col("_hours"))).cast("timestamp_ntz")
+    if only_where_found:
+        back = (F.hour("ts") < F.hour("_raw")) & (F.to_date("ts") == F.to_date("_raw"))
+        filled = filled.largest(F.coalesce(back, F.lit(False)), "_found")
+        ts = F.when(F.col("_found"), ts).otherwise(F.col("ts"))
+    return filled.result().withColumn("ts", ts).select(*df.columns)
 
 
 def null_where_constant(df: DataFrame) -> DataFrame:
@@ -105,14 +103,8 @@ def repair_half_day_meter(df: DataFrame) -> DataFrame:
     Time repair only for series that show the pattern, first of doubled stamps, hourly mean, frozen
     values interpolated.
     """
-    from gridloom.operators.joins import lookup
-    from gridloom.operators.resample import hourly_mean
-
-    fixed = fix_half_days(df).withColumnRenamed("ts", "_fixed").select("series", "seq", "_fixed")
-    flagged = lookup(df, has_half_days(df), ["series"])
-    both = flagged.join(fixed, ["series", "seq"])
-    chosen = both.withColumn("ts", F.when(F.col("half_days"), F.col("_fixed")).otherwise(F.col("ts")))
-    return fill_where_constant(hourly_mean(first_of_duplicates(chosen.select(*df.columns))))
+    fixed = first_of_duplicates(fix_half_days(df, only_where_found=True))
+    return fill_where_constant(hourly_mean(fixed))
 
 
 def remove_outliers(df: DataFrame, above: float | None = None) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.times import micros
-from gridloom.operators.joins import lookup
 from gridloom.operators.ordered import Ordered, in_order
 
 
@@ -40,7 +39,9 @@ def interpolate_linear(df: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.col("_line")).drop("_line")
 
 
-def akima(df: DataFrame, part: list[str] | None = None, axis: str = "ts") -> DataFrame:
+def akima(
+    df: DataFrame, part: list[str] | None = None, axis: str = "ts", at_most: int | None = None
+) -> DataFrame:
     """Fill null values by Akima's local cubic (J. ACM 17, 1970); null outside the known values.
 
     Known values stay. Knots are the known values of each series; a time axis counts in seconds.
@@ -48,28 +49,43 @@ def akima(df: DataFrame, part: list[str] | None = None, axis: str = "ts") -> Dat
     part = part or ["series"]
     on_time = "timestamp" in dict(df.dtypes)[axis]
     x = micros(F.col(axis)) if on_time else F.col(axis).cast("double")
-    scale = 1e6 if on_time else 1.0
-    value = F.when(F.isnan("value"), None).otherwise(F.col("value"))
-    rows = in_order(df.withColumns({"value": value, "_x": x}), part, [axis])
-    known = F.col("value").isNotNull()
-    knots = _tangents(rows.over(rows.df.filter(known)), part, scale)
-    piece = F.struct(
-        F.col("_x").alias("x0"), F.col("_x1").alias("x1"), F.col("value").alias("y0"),
-        F.col("_s").alias("s"), F.col("_t0").alias("t0"), F.col("_t1").alias("t1"),
+    unit = "1e6D" if on_time else "1D"
+    prepared = df.withColumns({"value": F.expr("if(isnan(value), null, value)"), "_x": x})
+    rows = in_order(prepared, part, [axis], at_most=at_most)
+    # A known value starts a piece up to the next one; behind the last value there is none.
+    piece = f"if(_x1 is null, null, struct({PIECE}))"
+    knots = _tangents(rows.over(rows.df.filter("value is not null")), unit)
+    started = knots.withColumn("_piece", F.expr(f"struct({piece} AS p)"))
+    started = started.select(*rows.df.columns, "_piece")
+    gaps = rows.df.filter("value is null").withColumn(
+        "_piece", F.lit(None).cast(started.schema["_piece"].dataType)
     )
-    with_piece = knots.withColumn("_piece", F.when(F.col("_x1").isNotNull(), piece)).select(
-        *rows.df.columns, "_piece"
-    )
-    # A last knot ends its piece: mark it so that rows behind it find no piece to continue.
-    with_piece = with_piece.withColumn("_piece", F.struct(F.col("_piece").alias("p")))
-    gaps = rows.df.filter(~known).withColumn("_piece", F.lit(None).cast(with_piece.schema["_piece"].dataType))
-    every = rows.over(with_piece.unionByName(gaps)).fill("_piece", "_at").result()
-    curve = _cubic(F.col("_at")["p"], F.col("_x"), scale)
+    every = rows.over(started.unionByName(gaps)).fill("_piece", "_at").result()
+    curve = F.expr(CUBIC.format(h=f"((_at.p.x1 - _at.p.x0) / {unit})", d=f"((_x - _at.p.x0) / {unit})"))
     return every.withColumn("value", F.coalesce("value", curve)).drop("_x", "_piece", "_at")
 
 
-def _tangents(knots: Ordered, part: list[str], scale: float) -> DataFrame:
-    """Per knot: next knot, slope to it, and the tangents at both ends."""
+PIECE = "_x AS x0, _x1 AS x1, value AS y0, _s AS s, _t0 AS t0, _t1 AS t1"
+CUBIC = (
+    "_at.p.y0 + {d} * (_at.p.t0 + {d} * ((3 * _at.p.s - 2 * _at.p.t0 - _at.p.t1) / {h}"
+    " + {d} * (_at.p.t0 + _at.p.t1 - 2 * _at.p.s) / ({h} * {h})))"
+)
+# Two slopes before and two after a knot, named from far before (a) to far behind (d). Missing ones
+# continue the line of the two next to them; with two knots in all there is only one slope.
+SLOPES = """struct(
+    coalesce({a}, if({b} is null, 3 * {c} - 2 * {d}, 2 * {b} - {c}), {b}, {c}) AS a,
+    coalesce({b}, 2 * {c} - {d}, {c}) AS b,
+    coalesce({c}, 2 * {b} - {a}, {b}) AS c,
+    coalesce({d}, if({c} is null, 3 * {b} - 2 * {a}, 2 * {c} - {b}), {c}, {b}) AS d)"""
+TANGENT = (
+    "if(abs({m}.d - {m}.c) + abs({m}.b - {m}.a) > 1e-9D * _top,"
+    " (abs({m}.d - {m}.c) * {m}.b + abs({m}.b - {m}.a) * {m}.c)"
+    " / nullif(abs({m}.d - {m}.c) + abs({m}.b - {m}.a), 0D), ({m}.d + {m}.a) / 2)"
+)
+
+
+def _tangents(knots: Ordered, unit: str) -> DataFrame:
+    """Per knot: next knot ``_x1``, slope to it ``_s``, and the tangents at both ends."""
 
     def around(w):
         cols = {}
@@ -81,52 +97,22 @@ def _tangents(knots: Ordered, part: list[str], scale: float) -> DataFrame:
             cols[f"_ym{k}"] = F.lag("value", k).over(w)
         return cols
 
-    seen = knots.near(3, around).df
+    near = knots.near(3, around)
     points = [("_xm2", "_ym2"), ("_xm1", "_ym1"), ("_x", "value")]
     points += [("_xp1", "_yp1"), ("_xp2", "_yp2"), ("_xp3", "_yp3")]
-    names = ["_l2", "_l1", "_s", "_r1", "_r2"]
-    slopes = {}
-    for name, (left, right) in zip(names, zip(points, points[1:])):
-        run = (F.col(right[0]) - F.col(left[0])) / F.lit(scale)
-        slopes[name] = (F.col(right[1]) - F.col(left[1])) / run
-    seen = seen.withColumns(slopes)
-    here = _four_slopes("_l2", "_l1", "_s", "_r1")
-    there = _four_slopes("_l1", "_s", "_r1", "_r2")
-    seen = seen.withColumns({"_here": here, "_there": there, "_x1": F.col("_xp1")})
-    weight = F.abs(F.col("_here")["d"] - F.col("_here")["c"]) + F.abs(
-        F.col("_here")["b"] - F.col("_here")["a"]
+    slopes = [
+        f"({y1} - {y0}) / (({x1} - {x0}) / {unit}) AS {name}"
+        for name, (x0, y0), (x1, y1) in zip(["_l2", "_l1", "_s", "_r1", "_r2"], points, points[1:])
+    ]
+    own = [c for c in near.df.columns if c[:3] not in ("_xm", "_ym", "_yp", "_xp")]
+    frame = near.df.selectExpr(*own, "_xp1 AS _x1", *slopes)
+    frame = frame.selectExpr(
+        *own, "_x1", "_s",
+        SLOPES.format(a="_l2", b="_l1", c="_s", d="_r1") + " AS _here",
+        SLOPES.format(a="_l1", b="_s", c="_r1", d="_r2") + " AS _there",
     )
-    top = seen.groupBy(*part).agg(F.max(weight).alias("_top"))
-    joined = lookup(seen, top, part)
-    limit = F.col("_top") * 1e-9
-    return joined.withColumns(
-        {"_t0": _tangent(F.col("_here"), limit), "_t1": _tangent(F.col("_there"), limit)}
+    weight = F.expr("abs(_here.d - _here.c) + abs(_here.b - _here.a)")
+    topped = near.over(frame).largest(weight, "_top").df
+    return topped.selectExpr(
+        *own, "_x1", "_s", TANGENT.format(m="_here") + " AS _t0", TANGENT.format(m="_there") + " AS _t1"
     )
-
-
-def _four_slopes(l2: str, l1: str, s: str, r1: str) -> Column:
-    """Two slopes on each side of a knot; missing ones continue the line of the two next to them.
-
-    A knot with only one slope anywhere (two knots in all) takes that slope everywhere.
-    """
-    far, before, after, beyond = F.col(l2), F.col(l1), F.col(s), F.col(r1)
-    b = F.coalesce(before, 2 * after - beyond, after)
-    a = F.coalesce(far, F.when(before.isNull(), 3 * after - 2 * beyond).otherwise(2 * before - after), b)
-    c = F.coalesce(after, 2 * before - far, before)
-    d = F.coalesce(beyond, F.when(after.isNull(), 3 * before - 2 * far).otherwise(2 * after - before), c)
-    return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
-
-
-def _tangent(m: Column, limit: Column) -> Column:
-    f1 = F.abs(m["d"] - m["c"])
-    f2 = F.abs(m["b"] - m["a"])
-    weighted = (f1 * m["b"] + f2 * m["c"]) / F.nullif(f1 + f2, F.lit(0.0))
-    return F.when(f1 + f2 > limit, weighted).otherwise((m["d"] + m["a"]) / 2)
-
-
-def _cubic(p: Column, x: Column, scale: float) -> Column:
-    h = (p["x1"] - p["x0"]) / F.lit(scale)
-    d = (x - p["x0"]) / F.lit(scale)
-    c2 = (3 * p["s"] - 2 * p["t0"] - p["t1"]) / h
-    c3 = (p["t0"] + p["t1"] - 2 * p["s"]) / (h * h)
-    return p["y0"] + d * (p["t0"] + d * (c2 + d * c3))

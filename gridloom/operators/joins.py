@@ -14,6 +14,16 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def attach(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join with a table that is itself aggregated from the data (one row per key).
+
+    Its size is known only at run time, so the choice is left to adaptive execution: it broadcasts
+    the right side if it turns out small, and splits a key that is too frequent if not. Counting it
+    beforehand would run everything below it twice.
+    """
+    return left.join(right, on, how)
+
+
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join each row of ``left`` with its only match in ``right``.
 

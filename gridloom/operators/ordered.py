@@ -22,6 +22,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gridloom.operators.joins import attach
 from gridloom.session import pinned, slice_rows
 
 # Upper bound for the number of cuts over all groups together. It bounds every table that is
@@ -117,6 +118,13 @@ class Ordered:
             return self.over(self.df.withColumn(out, F.row_number().over(self.inner).cast("long")))
         return self.running(F.lit(1).cast("long"), out)
 
+    def largest(self, amount: Column, out: str) -> Ordered:
+        """Add ``out``: the largest ``amount`` of the whole group."""
+        if not self.slices:
+            return self.over(self.df.withColumn(out, F.max(amount).over(Window.partitionBy(*self.part))))
+        tops = self.df.groupBy(*self.part).agg(F.max(amount).alias(out))
+        return self.over(attach(self.df, tops, self.part))
+
     def _carried(self, carry: DataFrame) -> DataFrame:
         # Only slices after the first one of a cut group carry anything: at most 2 * MAX_CUTS rows.
         known = carry.filter(F.col("_carry").isNotNull() & self._is_cut())
@@ -129,14 +137,24 @@ class Ordered:
         return cut
 
 
-def in_order(df: DataFrame, part: list[str], order: list[str], *, tie: str | None = None) -> Ordered:
+def in_order(
+    df: DataFrame,
+    part: list[str],
+    order: list[str],
+    *,
+    tie: str | None = None,
+    at_most: int | None = None,
+) -> Ordered:
     """Order ``df`` by ``order`` within ``part`` and cut the groups that are too large for a task.
 
     The first order column is the cut key. Rows with equal keys stay together, so the key should be
     (nearly) unique in its group; where it is not (values that repeat), name the next order column
-    as ``tie`` and runs of one key are cut along that column too.
+    as ``tie`` and runs of one key are cut along that column too. A caller that knows how large a
+    group can be passes it in ``at_most`` and saves the count where that is below the limit.
     """
     limit = slice_rows(df.sparkSession)
+    if at_most is not None and at_most <= limit:
+        return Ordered(df, part, order)
     total, top = _sizes(df, part)
     if top <= limit:
         return Ordered(df, part, order)
@@ -153,6 +171,11 @@ def in_order(df: DataFrame, part: list[str], order: list[str], *, tie: str | Non
     return Ordered(second, part, order, ["_slice", "_slice2"])
 
 
+def largest_group(df: DataFrame, part: list[str]) -> int:
+    """Rows of the largest group, for ``at_most`` where a cheaper frame with the same groups exists."""
+    return _sizes(df, part)[1]
+
+
 def _sizes(df: DataFrame, part: list[str]) -> tuple[int, int]:
     """Rows in all groups and in the largest one (one pre-aggregated pass, one row to the driver)."""
     sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))

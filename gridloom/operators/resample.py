@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from gridloom.functions import texts, times, units
 from gridloom.operators.fill import akima
-from gridloom.operators.joins import lookup
+from gridloom.operators.joins import attach, lookup
 
 # Nominal steps in seconds; a month counts as four weeks when steps are compared.
 STEP_SECONDS = {"15m": 900, "1h": 3600, "1d": 86400, "1mo": 2419200}
@@ -103,11 +103,23 @@ def on_grid(df: DataFrame, seconds: int, spans: DataFrame | None = None) -> Data
 
 def upsample(df: DataFrame, units_of: DataFrame, step: str) -> DataFrame:
     """Finer grid with Akima values; summed units are scaled by new step / mean old step."""
+    return _upsample(df, units_of, step, _facts(df, STEP_SECONDS[step])["top"])
+
+
+def _upsample(df: DataFrame, units_of: DataFrame, step: str, top: int | None) -> DataFrame:
     if step == "1mo":
         raise ValueError("a month has no fixed length: upsampling to months is not offered")
     steps = mean_step(df)
     scaled = _scaled(df, units_of, steps.select("series", "step"), STEP_SECONDS[step])
-    return akima(on_grid(scaled, STEP_SECONDS[step], steps.select("series", "first", "last")))
+    even = on_grid(scaled, STEP_SECONDS[step], steps.select("series", "first", "last"))
+    return akima(even, at_most=top)
+
+
+def _facts(df: DataFrame, seconds: int) -> Row:
+    """Finest and coarsest mean step, and the most rows a series can have on the grid (one row)."""
+    whole = (times.micros(F.col("last")) - times.micros(F.col("first"))) / (seconds * 1_000_000)
+    rows = F.max(F.col("n") + F.ceil(whole) + 1)
+    return mean_step(df).agg(F.min("step").alias("low"), F.max("step").alias("high"), rows.alias("top")).first()
 
 
 def _scaled(df: DataFrame, units_of: DataFrame, steps: DataFrame, seconds: int) -> DataFrame:
@@ -115,29 +127,31 @@ def _scaled(df: DataFrame, units_of: DataFrame, steps: DataFrame, seconds: int)
         "series",
         F.when(F.col("mean"), F.lit(1.0)).otherwise(F.lit(float(seconds)) / F.col("step")).alias("_f"),
     )
-    return lookup(df, factors, ["series"]).withColumn("value", F.col("value") * F.col("_f")).drop("_f")
+    return attach(df, factors, ["series"]).withColumn("value", F.col("value") * F.col("_f")).drop("_f")
 
 
 def hourly_to_quarter(df: DataFrame, units_of: DataFrame) -> DataFrame:
     """Hourly to 15 minutes: a quarter of summed units; a missing unit counts as averaged."""
     ruled = with_rule(df, units_of, "mean_all", missing=True)
     value = F.when(F.col("mean"), F.col("value")).otherwise(F.col("value") / 4)
-    return akima(on_grid(ruled.withColumn("value", value).drop("mean"), 900))
+    quarters = on_grid(ruled.withColumn("value", value).drop("mean"), 900)
+    return akima(quarters, at_most=_facts(df, 900)["top"])
 
 
 def change_resolution(df: DataFrame, units_of: DataFrame, step: str) -> DataFrame:
     """Down where the mean step of a series is finer than asked for, up otherwise."""
     seconds = STEP_SECONDS[step]
-    steps = mean_step(df)
-    low, high = steps.agg(F.min("step"), F.max("step")).first()
-    if low == 0:
+    facts = _facts(df, seconds)
+    if facts["low"] == 0:
         raise ValueError("time steps of zero: clean doubled times first")
-    if high is not None and high < seconds:
+    if facts["high"] is None or facts["high"] < seconds:
         return downsample(df, units_of, step)
+    if facts["low"] >= seconds:
+        return _upsample(df, units_of, step, facts["top"])
     finer = F.coalesce(F.col("step") < seconds, F.lit(False))
-    marked = lookup(df, steps.select("series", finer.alias("_down")), ["series"])
+    marked = attach(df, mean_step(df).select("series", finer.alias("_down")), ["series"])
     down = downsample(marked.filter("_down").drop("_down"), units_of, step)
-    up = upsample(marked.filter("not _down").drop("_down"), units_of, step)
+    up = _upsample(marked.filter("not _down").drop("_down"), units_of, step, facts["top"])
     return down.unionByName(up.select("series", "ts", "value"))
 
 
@@ -147,4 +161,5 @@ def curve_to_hours(df: DataFrame, last_hour: int = 8760) -> DataFrame:
     hours = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last_hour).cast("long"))).alias("hour")
     empty = names.select("series", hours, F.lit(None).cast("double").alias("value"))
     every = df.select("series", "hour", "value").unionByName(empty)
-    return akima(every.groupBy("series", "hour").agg(F.max("value").alias("value")), axis="hour")
+    merged = every.groupBy("series", "hour").agg(F.max("value").alias("value"))
+    return akima(merged, axis="hour")

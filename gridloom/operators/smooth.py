@@ -48,8 +48,9 @@ def smoothed(df: DataFrame, window: int, degree: int = DEGREE) -> DataFrame:
     kept = df.filter(texts.is_kept(F.col("series")))
     rows = in_order(kept, ["series"], ["ts"]).near(half, frames).result()
     before, after = F.col("_before"), F.col("_after")
-    left = F.reverse(F.slice("_list", before + 2, half - before))
-    right = F.reverse(F.slice("_list", F.greatest(before + 1 - (half - after), F.lit(1)), half - after))
+    left = F.reverse(F.slice("_list", F.lit(2), half - before))
+    behind = F.greatest(F.size("_list") - (half - after), F.lit(1))
+    right = F.reverse(F.slice("_list", behind, half - after))
     full = F.concat(left, F.col("_list"), right)
     products = F.zip_with(full, weights, lambda y, c: y * c)
     total = F.aggregate(products, F.lit(0.0), lambda a, b: a + b)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import texts, times, units
-from gridloom.operators.joins import lookup
 from gridloom.operators.ordered import in_order
 
 
@@ -21,9 +20,8 @@ def nearest_quantiles(df: DataFrame, shares: dict[str, float], part: list[str] |
         .groupBy(*part, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    running = in_order(counts, part, ["value"]).running(F.col("n"), "upto").result()
-    totals = counts.groupBy(*part).agg(F.sum("n").alias("total"))
-    ranked = lookup(running, totals, part)
+    running = in_order(counts, part, ["value"]).running(F.col("n"), "upto")
+    ranked = running.largest(F.col("upto"), "total").df
     found = {}
     for name, share in shares.items():
         rank = F.round((F.col("total") - 1) * F.lit(share)) + 1

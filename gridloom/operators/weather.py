@@ -9,7 +9,7 @@ from gridloom.functions import times, units
 from gridloom.operators import geo
 from gridloom.operators.fill import linear_by_row
 from gridloom.operators.joins import lookup
-from gridloom.operators.ordered import in_order
+from gridloom.operators.ordered import in_order, largest_group
 from gridloom.operators.resample import change_resolution
 
 # Resolutions of the weather service from fine to coarse, with German names.
@@ -272,7 +272,7 @@ def with_temperature(df: DataFrame, weather: DataFrame) -> DataFrame:
     line = linear_by_row(in_order(merged.withColumn("_all", F.lit(0)), ["_all"], ["ts"]), "value", "_t")
     known = line.result().filter("_profile").select("ts", F.col("_t").alias("temperature"))
     joined = df.join(known, "ts", "left")
-    rows = in_order(joined, ["series"], ["ts"])
+    rows = in_order(joined, ["series"], ["ts"], at_most=largest_group(df, ["series"]))
     for name in ("value", "temperature"):
         rows = rows.fill(name, "_f").fill(name, "_b", forward=False)
         filled = F.coalesce(name, "_f", "_b")

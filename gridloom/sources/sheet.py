@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from gridloom.functions import texts, times, units
 from gridloom.operators import clean
 
-ROW_BITS = 33
+PART_BITS, START_BITS, ROW_BITS = 17, 16, 30
 
 
 def file_order() -> Column:
-    """Row order inside a file: start of the split, then row in its partition.
+    """Row order in a file or in a folder of numbered part files, as one number.
 
-    Splits start at least 1 MB apart (Spark's own minimum is 4 MB), so the megabyte tells them apart.
+    It is made of the part number, the start of the split in MB and the row in its partition.
+    Splits start at least 4 MB apart, so the megabyte tells them apart.
     """
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+    number = F.coalesce(part.try_cast("long"), F.lit(0).cast("long"))
     start = F.shiftright(F.col("_metadata.file_block_start"), 20)
     row = F.monotonically_increasing_id() % (1 << ROW_BITS)
-    return F.shiftleft(start, ROW_BITS) + row
+    return F.shiftleft(number, START_BITS + ROW_BITS) + F.shiftleft(start, ROW_BITS) + row
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
