@@ -68,7 +68,7 @@ PAIRS = {
     "/ 60000000) AS d FROM even) GROUP BY 1",
     "kd": "SELECT u.series, u.unit, CASE WHEN m <> 15 THEN NULL WHEN trim(unit) IN ('GWh', 'MWh', 'kWh', 'Wh') THEN 'Arbeit' WHEN trim(unit) IN "
     "('GW', 'MW', 'kW', 'W') THEN 'Leistung' END AS kind FROM event_units u JOIN st USING (series)",
-    "both": "SELECT e.series || CASE kind WHEN 'Arbeit' THEN ' → Arbeit' WHEN 'Leistung' THEN ' → Leistung' ELSE '' END AS series, ts, value, unit "
+    "pairs": "SELECT e.series || CASE kind WHEN 'Arbeit' THEN ' → Arbeit' WHEN 'Leistung' THEN ' → Leistung' ELSE '' END AS series, ts, value, unit "
     "FROM even e JOIN kd USING (series) UNION ALL SELECT e.series || CASE kind WHEN 'Arbeit' THEN ' → Leistung' ELSE ' → Arbeit' END, ts, "
     "CASE kind WHEN 'Arbeit' THEN value * 4 ELSE value / 4 END, CASE kind WHEN 'Arbeit' THEN left(unit, length(unit) - 1) ELSE unit || 'h' END "
     "FROM even e JOIN kd USING (series) WHERE kind IS NOT NULL",
@@ -84,7 +84,7 @@ def even_quarters(spark, folder):
 
 @query(
     "m3_energy_and_power",
-    with_sql("event_units", "SELECT series, ts, value, unit FROM both", q0=QUARTERS, even=EVEN, **PAIRS),
+    with_sql("event_units", "SELECT series, ts, value, unit FROM pairs", q0=QUARTERS, even=EVEN, **PAIRS),
 )
 def _(spark, folder):
     return meta.energy_and_power(even_quarters(spark, folder), event_units(spark))

@@ -74,23 +74,24 @@ class Ordered:
 
     def fill(self, source: str, out: str, *, forward: bool = True) -> Ordered:
         """Add ``out``: the last (or next) non-null ``source`` seen in order, own row included."""
-        start, end = Window.unboundedPreceding, Window.currentRow
-        pick, best = F.last, F.max_by
-        if not forward:
-            start, end = Window.currentRow, Window.unboundedFollowing
-            pick, best = F.first, F.min_by
-        local = pick(source, ignorenulls=True).over(self.inner.rowsBetween(start, end))
+        # Backward is forward in falling order: a frame that starts at each row and runs to the end
+        # would be read anew for every row.
+        turn, best = (F.asc, F.max_by) if forward else (F.desc, F.min_by)
+        ordered = [turn(c) for c in self.order]
+        frame = Window.partitionBy(*self.part, *self.slices).orderBy(*ordered)
+        local = F.last(source, ignorenulls=True).over(
+            frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
         if not self.slices:
             return self.over(self.df.withColumn(out, local))
         key = F.when(F.col(source).isNotNull(), F.struct(*self.order))
         ends = self.df.groupBy(*self.part, *self.slices).agg(best(source, key).alias("_end"))
-        frame = Window.partitionBy(*self.part).orderBy(*self.slices)
-        frame = (
-            frame.rowsBetween(Window.unboundedPreceding, -1)
-            if forward
-            else frame.rowsBetween(1, Window.unboundedFollowing)
+        before = (
+            Window.partitionBy(*self.part)
+            .orderBy(*[turn(c) for c in self.slices])
+            .rowsBetween(Window.unboundedPreceding, -1)
         )
-        carry = ends.withColumn("_carry", pick("_end", ignorenulls=True).over(frame)).drop("_end")
+        carry = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).drop("_end")
         filled = self._carried(carry).withColumn(out, F.coalesce(local, F.col("_carry")))
         return self.over(filled.drop("_carry"))
 

@@ -44,7 +44,8 @@ def read_folder(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
     df = spark.read.csv(path, header=True, inferSchema=False, pathGlobFilter="[!~]*", recursiveFileLookup=True)
     kept = [c for c in df.columns if any(w in c for w in wanted)]
     name = F.col("_metadata.file_path")
-    return df.select(name.alias("source_file"), file_order().alias("seq"), *[f"`{c}`" for c in kept])
+    real = df.filter(~name.rlike(r"/(~|%7E)(\$|%24)"))
+    return real.select(name.alias("source_file"), file_order().alias("seq"), *[f"`{c}`" for c in kept])
 
 
 def header_of(cells: DataFrame, mark: str = texts.INDEX_MARK) -> tuple[str, int, list[str | None]]:
