@@ -12,6 +12,7 @@ from gridloom.catalog.fixtures import (
 from gridloom.catalog.tables import FED_SQL, fed_in
 from gridloom.functions import units
 from gridloom.operators import geo, resample, stats, weather
+from gridloom.session import fixed_table
 
 
 def _in(rule: str, unit: str = "unit") -> str:
@@ -315,7 +316,7 @@ FLAGS = "SELECT * FROM (VALUES ('A', ' J/cm²'), ('N', ' °C'), ('R', ' pct')) A
 
 
 def with_flag_unit(spark, df):
-    signs = spark.createDataFrame([("A", " J/cm²"), ("N", " °C"), ("R", " pct")], "parameter string, unit string")
+    signs = fixed_table(spark, [("A", " J/cm²"), ("N", " °C"), ("R", " pct")], "parameter, unit")
     return df.join(F.broadcast(signs), "parameter")
 
 

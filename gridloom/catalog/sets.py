@@ -127,7 +127,6 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    curve = curves.duration_curve(curves.with_year(p_orders(spark, folder)), ["series", "year"])
-    return curves.padded(curve, curves.LEAP_YEAR_HOURS).filter(F.col("value").isNull())
+    return curves.padding(curves.with_year(p_orders(spark, folder)), curves.LEAP_YEAR_HOURS)
 
 

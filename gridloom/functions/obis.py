@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.session import fixed_table
+
 # Fixed value: medium 1, channel, quantity, kind. A third group stays outside of the code.
 PATTERN = r"1-\d*:\d*\.\d*"
 MEDIUM = "Elektrizität"
@@ -103,10 +105,8 @@ def quantity_rows() -> list[tuple[str, str, str, str]]:
 
 def catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """(quantities, kinds): two fixed tables of 84 and 46 rows."""
-    quantities = spark.createDataFrame(
-        quantity_rows(), "obis_quantity string, quantity string, obis_unit string, short_name string"
-    )
-    return quantities, spark.createDataFrame(KINDS, "obis_kind string, kind string")
+    quantities = fixed_table(spark, quantity_rows(), "obis_quantity, quantity, obis_unit, short_name")
+    return quantities, fixed_table(spark, KINDS, "obis_kind, kind")
 
 
 def code_of(text: Column) -> Column:

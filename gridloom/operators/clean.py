@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import times
 from gridloom.operators.fill import akima
-from gridloom.operators.ordered import in_order
+from gridloom.operators.ordered import in_order, largest_group
 from gridloom.operators.resample import hourly_mean
 
 SUNDAY = 7
@@ -40,10 +40,7 @@ def drop_spring_hour(df: DataFrame, switch_weekday: int = SUNDAY) -> DataFrame:
 
 def first_of_duplicates(df: DataFrame) -> DataFrame:
     """Per (series, ts) the row that came first. An aggregate, so copies collapse before the shuffle."""
-    rest = [c for c in df.columns if c not in ("series", "ts")]
-    row = F.struct("seq", *[c for c in rest if c != "seq"])
-    kept = df.groupBy("series", "ts").agg(F.min_by(row, F.col("seq")).alias("_row"))
-    return kept.select(*[c if c in ("series", "ts") else f"_row.{c}" for c in df.columns])
+    return _one_per_stamp(df, F.min_by, F.min).select(*df.columns)
 
 
 def clean_switches(df: DataFrame, switch_weekday: int = SUNDAY) -> DataFrame:
@@ -53,16 +50,22 @@ def clean_switches(df: DataFrame, switch_weekday: int = SUNDAY) -> DataFrame:
 
 def switch_rejects(df: DataFrame, switch_weekday: int = SUNDAY) -> DataFrame:
     """What cleaning removes: the last row of each spring-hour stamp and of each doubled stamp."""
-    rest = [c for c in df.columns if c not in ("series", "ts")]
-    row = F.struct("seq", *[c for c in rest if c != "seq"])
-    groups = df.groupBy("series", "ts").agg(
-        F.max_by(row, F.col("seq")).alias("_row"), F.count(F.lit(1)).alias("_n")
-    )
+    groups = _one_per_stamp(df, F.max_by, F.max)
     lost = groups.filter((F.col("_n") > 1) | in_spring_gap(F.col("ts"), switch_weekday))
-    return lost.select(*[c if c in ("series", "ts") else f"_row.{c}" for c in df.columns])
+    return lost.select(*df.columns)
+
+
+def _one_per_stamp(df: DataFrame, by, end) -> DataFrame:
+    # Column by column, not as one struct: numbers then stay in a hash aggregate.
+    rest = [c for c in df.columns if c not in ("series", "ts", "seq")]
+    return df.groupBy("series", "ts").agg(
+        end("seq").alias("seq"), *[by(c, "seq").alias(c) for c in rest], F.count(F.lit(1)).alias("_n")
+    )
 
 
-def fix_half_days(df: DataFrame, *, only_where_found: bool = False) -> DataFrame:
+def fix_half_days(
+    df: DataFrame, *, only_where_found: bool = False, at_most: int | None = None
+) -> DataFrame:
     """Times written on a 12-hour clock without AM/PM, put right in order of ``seq``.
 
     Hour 12 counts as 0; from the point where the hour goes down within a day, 12 hours are added
@@ -72,7 +75,7 @@ def fix_half_days(df: DataFrame, *, only_where_found: bool = False) -> DataFrame
     half = F.col("ts") - F.expr("interval 12 hours")
     clock = df.withColumn("_t", F.when(F.hour("ts") == 12, half).otherwise(F.col("ts")))
     before = lambda w: {"_p": F.lag("_t").over(w), "_raw": F.lag("ts").over(w)}
-    steps = in_order(clock, ["series"], ["seq"]).near(1, before)
+    steps = in_order(clock, ["series"], ["seq"], at_most=at_most).near(1, before)
     new_day = F.col("_p").isNull() | (F.to_date("_t") != F.to_date("_p"))
     down = F.hour("_t") < F.hour("_p")
     shift = F.when(new_day, F.lit(0)).when(down, F.lit(12))
@@ -85,16 +88,18 @@ def fix_half_days(df: DataFrame, *, only_where_found: bool = False) -> DataFrame
     return filled.result().withColumn("ts", ts).select(*df.columns)
 
 
-def null_where_constant(df: DataFrame) -> DataFrame:
+def null_where_constant(df: DataFrame, at_most: int | None = None) -> DataFrame:
     """Values equal to the one before become null."""
-    steps = in_order(df, ["series"], ["ts"]).near(1, lambda w: {"_prev": F.lag("value").over(w)})
+    rows = in_order(df, ["series"], ["ts"], at_most=at_most)
+    steps = rows.near(1, lambda w: {"_prev": F.lag("value").over(w)})
     value = F.when(F.col("value") == F.col("_prev"), None).otherwise(F.col("value"))
     return steps.result().withColumn("value", value).drop("_prev")
 
 
-def fill_where_constant(df: DataFrame) -> DataFrame:
+def fill_where_constant(df: DataFrame, at_most: int | None = None) -> DataFrame:
     """Frozen values replaced by Akima interpolation between the moving ones."""
-    return akima(null_where_constant(df))
+    top = largest_group(df, ["series"]) if at_most is None else at_most
+    return akima(null_where_constant(df, top), at_most=top)
 
 
 def repair_half_day_meter(df: DataFrame) -> DataFrame:
@@ -103,8 +108,9 @@ def repair_half_day_meter(df: DataFrame) -> DataFrame:
     Time repair only for series that show the pattern, first of doubled stamps, hourly mean, frozen
     values interpolated.
     """
-    fixed = first_of_duplicates(fix_half_days(df, only_where_found=True))
-    return fill_where_constant(hourly_mean(fixed))
+    top = largest_group(df, ["series"])  # no later step has more rows per series
+    fixed = first_of_duplicates(fix_half_days(df, only_where_found=True, at_most=top))
+    return fill_where_constant(hourly_mean(fixed), top)
 
 
 def remove_outliers(df: DataFrame, above: float | None = None) -> DataFrame:

@@ -26,20 +26,21 @@ def duration_curve(hourly: DataFrame, part: list[str] | None = None) -> DataFram
 
 def duration_curve_by_year(hourly: DataFrame) -> DataFrame:
     """A curve per series and year, padded with nulls to the hours of a leap year."""
-    curve = duration_curve(with_year(hourly), ["series", "year"])
-    return padded(curve, LEAP_YEAR_HOURS)
+    rows = with_year(hourly)
+    curve = duration_curve(rows, ["series", "year"])
+    return curve.unionByName(padding(rows, LEAP_YEAR_HOURS))
 
 
-def padded(curve: DataFrame, hours: int) -> DataFrame:
-    """Append the missing ranks only; curves that are long enough stay as they are."""
-    lengths = curve.groupBy("series", "year").agg(F.count(F.lit(1)).alias("n"))
+def padding(rows: DataFrame, hours: int) -> DataFrame:
+    """The ranks that a curve lacks to the given length, counted from its rows, not from the curve."""
+    kept = rows.filter(texts.is_kept(F.col("series")))
+    lengths = kept.groupBy("series", "year").agg(F.count("value").alias("n"))
     missing = F.sequence(F.col("n"), F.lit(hours - 1).cast("long"))
-    empty = lengths.filter(F.col("n") < hours).select(
+    return lengths.filter(F.col("n") < hours).select(
         "series", "year", F.explode(missing).alias("rank"),
-        F.lit(None).cast(curve.schema["ts"].dataType).alias("ts"),
+        F.lit(None).cast(rows.schema["ts"].dataType).alias("ts"),
         F.lit(None).cast("double").alias("value"),
     )
-    return curve.unionByName(empty)
 
 
 def side_by_side(curve: DataFrame, series: list[str]) -> DataFrame:

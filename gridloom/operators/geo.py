@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import texts
-from gridloom.operators.joins import lookup
+from gridloom.operators.joins import attach, lookup
 
 EARTH_KM = 6371.0088
 STATION_LIMIT_KM = 150.0
@@ -138,7 +138,7 @@ def nearest_station(
     near = found.filter(F.col("_best.km") <= limit_km).select(
         *spot, F.col("_best.id").alias("station_id"), F.col("_best.km").alias("distance")
     )
-    return lookup(places, near, spot, "inner")
+    return attach(places, near, spot, "inner")
 
 
 def _search(spots: DataFrame, sites: DataFrame, by: list[str], spot: list[str], edge: float) -> DataFrame:

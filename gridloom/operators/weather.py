@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from gridloom.functions import times, units
 from gridloom.operators import geo
 from gridloom.operators.fill import linear_by_row
-from gridloom.operators.joins import lookup
+from gridloom.operators.joins import attach, lookup
 from gridloom.operators.ordered import in_order, largest_group
 from gridloom.operators.resample import change_resolution
+from gridloom.session import fixed_table
 
 # Resolutions of the weather service from fine to coarse, with German names.
 RESOLUTIONS = [
@@ -94,11 +95,11 @@ SECONDS_PER_YEAR = 31_536_000
 def resolution_table(spark: SparkSession) -> DataFrame:
     """Nine fixed rows: (resolution, name_de, place from fine to coarse)."""
     rows = [(en, de, i) for i, (en, de) in enumerate(RESOLUTIONS)]
-    return spark.createDataFrame(rows, "resolution string, name_de string, place int")
+    return fixed_table(spark, rows, "resolution, name_de, place")
 
 
 def parameter_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PARAMETER_NAMES, "parameter string, name_de string")
+    return fixed_table(spark, PARAMETER_NAMES, "parameter, name_de")
 
 
 def observations(
@@ -238,8 +239,8 @@ def station_attributes(df: DataFrame, stations: DataFrame) -> DataFrame:
 
 def report(requests: DataFrame, used: DataFrame, nearest: DataFrame, wanted: str) -> DataFrame:
     """Per request: used resolution, station, distance and status none / other resolution / ok."""
-    joined = lookup(requests, used, ["parameter"])
-    found = lookup(
+    joined = attach(requests, used, ["parameter"])
+    found = attach(
         joined, nearest.select("place_id", "parameter", "station_id", "distance"), ["place_id", "parameter"]
     )
     status = (
@@ -269,7 +270,10 @@ def with_temperature(df: DataFrame, weather: DataFrame) -> DataFrame:
     merged = axis.unionByName(seen).groupBy("ts").agg(
         F.max("value").alias("value"), F.max("_profile").alias("_profile")
     )
-    line = linear_by_row(in_order(merged.withColumn("_all", F.lit(0)), ["_all"], ["ts"]), "value", "_t")
+    rows = in_order(
+        merged.withColumn("_all", F.lit(0)), ["_all"], ["ts"], at_most=df.count() + weather.count()
+    )
+    line = linear_by_row(rows, "value", "_t")
     known = line.result().filter("_profile").select("ts", F.col("_t").alias("temperature"))
     joined = df.join(known, "ts", "left")
     rows = in_order(joined, ["series"], ["ts"], at_most=largest_group(df, ["series"]))

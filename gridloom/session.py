@@ -32,6 +32,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
+def fixed_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small constant table as VALUES, known to the optimizer with its size."""
+
+    def literal(x):
+        if x is None:
+            return "CAST(NULL AS STRING)"
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
+
+    listed = ", ".join("(" + ", ".join(literal(x) for x in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({columns})")
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Fix the content of a small table that must not change between two reads of a plan."""
     shared_folder(df.sparkSession)
