@@ -25,7 +25,8 @@ def write_simulation_csv(hours: DataFrame, path: str) -> None:
     """One CSV file of 8760 rows in time order; the first header cell starts with ``# ``."""
     # Fixed size: the hours of one year.
     one = hours.withColumnRenamed("Time [s]", "# Time [s]").coalesce(1)
-    one.sortWithinPartitions("# Time [s]").write.mode("overwrite").csv(path, header=True)
+    # Another comment sign, since a cell that starts with the sign would be quoted.
+    one.sortWithinPartitions("# Time [s]").write.mode("overwrite").option("comment", "~").csv(path, header=True)
 
 
 def write_by_source(df: DataFrame, path: str) -> None:
