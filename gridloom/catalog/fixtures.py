@@ -94,11 +94,11 @@ def observation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def weather_daily(spark: SparkSession, folder: str) -> DataFrame:
-    """One value per parameter and day over all stations; a third, so that no value is a rounding tie."""
+    """One value per parameter and day over all stations, scaled so that no value is a rounding tie."""
     names = F.create_map(*[F.lit(x) for flag, _, name in FLAG_UNITS for x in (flag, name)])
     return table(spark, folder, "lineitem").groupBy(
         names[F.col("l_returnflag")].alias("series"), F.col("l_shipdate").alias("ts")
-    ).agg((F.avg("l_quantity") / 3).alias("value"))
+    ).agg((F.avg("l_quantity") * 0.7182818284).alias("value"))
 
 
 def weather_units(spark: SparkSession) -> DataFrame:
@@ -143,7 +143,7 @@ SQL = {
     "CASE WHEN l_linestatus = 'O' THEN 'daily' ELSE 'hourly' END AS resolution, l_shipdate AS date, "
     "avg(l_quantity) AS value FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1, 2, 3, 4",
     "weather_daily": "SELECT CASE l_returnflag WHEN 'A' THEN 'radiation_global' WHEN 'N' THEN "
-    "'temperature_air_mean_2m' ELSE 'humidity' END AS series, l_shipdate AS ts, avg(l_quantity) / 3 AS value "
+    "'temperature_air_mean_2m' ELSE 'humidity' END AS series, l_shipdate AS ts, avg(l_quantity) * 0.7182818284::DOUBLE AS value "
     "FROM lineitem GROUP BY 1, 2",
     "obis_titles": "SELECT p_partkey, 'Meter ' || p_name || ' 1-1:' || p_size || '.' || (1 + p_partkey % 38) "
     "|| '.0' AS title FROM part",

@@ -74,7 +74,7 @@ def _(spark, folder):
 
 @query("a3_downsample_hour", _down_sql("p_events", "event_units", "date_trunc('hour', ts)", 6))
 def _(spark, folder):
-    return resample.change_resolution(p_events(spark, folder), event_units(spark), "1h").withColumn("value", r("value"))
+    return resample.downsample(p_events(spark, folder), event_units(spark), "1h").withColumn("value", r("value"))
 
 
 @query("a3_downsample_day", _down_sql("p_events", "event_units", "date_trunc('day', ts)::TIMESTAMP", 6))

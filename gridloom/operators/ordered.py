@@ -210,7 +210,7 @@ def _cut(
         .join(F.broadcast(large), part)
         .groupBy(*part)
         .agg(
-            F.percentile_approx(key, steps, max(10_000, 10 * many)).alias("_all"),
+            F.percentile_approx(key, steps, max(10_000, 10 * many)).alias("_quantiles"),
             F.max("_n").alias("_n"),
         )
     )
@@ -218,7 +218,7 @@ def _cut(
     index = lambda i: F.greatest(F.lit(1), F.floor(i * F.lit(many) / wanted)).cast("int")
     thinned = F.transform(
         F.sequence(F.lit(1).cast("long"), wanted - 1),
-        lambda i: F.element_at("_all", F.least(F.lit(many - 1), index(i))),
+        lambda i: F.element_at("_quantiles", F.least(F.lit(many - 1), index(i))),
     )
     # Quantile sketches may merge in another order on a second run, so the cuts are pinned.
     cuts = pinned(

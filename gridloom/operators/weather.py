@@ -271,7 +271,7 @@ def with_temperature(df: DataFrame, weather: DataFrame) -> DataFrame:
         F.max("value").alias("value"), F.max("_profile").alias("_profile")
     )
     rows = in_order(
-        merged.withColumn("_all", F.lit(0)), ["_all"], ["ts"], at_most=df.count() + weather.count()
+        merged.withColumn("_axis", F.lit(0)), ["_axis"], ["ts"], at_most=df.count() + weather.count()
     )
     line = linear_by_row(rows, "value", "_t")
     known = line.result().filter("_profile").select("ts", F.col("_t").alias("temperature"))

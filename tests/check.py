@@ -61,6 +61,10 @@ def main(folder: str, wanted: list[str]) -> None:
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    import os
+
+    if os.environ.get("CHECK_SLICE_ROWS"):
+        spark.conf.set("gridloom.slice.rows", os.environ["CHECK_SLICE_ROWS"])
     queries, oracles = load()
     con = connect(folder)
     failed = 0
