@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import texts
 from gridloom.operators.joins import attach, lookup
+from gridloom.session import pinned
 
 EARTH_KM = 6371.0088
 STATION_LIMIT_KM = 150.0
@@ -130,7 +131,8 @@ def nearest_station(
     by = by or []
     spot = [*by, "latitude", "longitude"]
     spots = places.select(*spot).na.drop(subset=["latitude", "longitude"]).distinct()
-    sites = stations.groupBy(*spot).agg(F.min("station_id").alias("station_id"))
+    # Every round reads the stations; pinned, what they are made from is read only once.
+    sites = pinned(stations.groupBy(*spot).agg(F.min("station_id").alias("station_id")))
     none = F.lit(None).cast(f"struct<km:double,id:{stations.schema['station_id'].dataType.simpleString()}>")
     found = spots.withColumn("_best", none)
     for edge in (limit_km / 16, limit_km / 4, limit_km):
