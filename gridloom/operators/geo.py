@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import texts
@@ -102,15 +102,22 @@ def map_extent(df: DataFrame) -> DataFrame:
     )
 
 
-def _cells(lat: Column, lon: Column, edge_km: float) -> list[Column]:
-    """Cube of the given edge that holds the point on the globe; valid at poles and date line."""
-    phi, lam = F.radians(lat), F.radians(lon)
-    axes = [F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)]
-    return [F.floor(a * EARTH_KM / edge_km).cast("long") for a in axes]
+FINEST_KM = 0.013  # cube numbers then fit in 20 bits
+FEW = 16
 
 
-def _cell_key(cells: list[Column]) -> Column:
-    # Cube numbers fit in 20 bits each for edges above 13 m.
+def _axes(lat: str, lon: str) -> list[Column]:
+    """The point on the globe in km from its centre; valid at poles and date line."""
+    phi, lam = F.radians(F.col(lat)), F.radians(F.col(lon))
+    return [a * EARTH_KM for a in (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))]
+
+
+def _cube(fine: str, up: int) -> Column:
+    """Key of the cube ``up`` levels above the finest; an edge is four times that of the level below."""
+    return _key([F.shiftright(F.col(f"{fine}{i}"), 2 * up) for i in range(3)])
+
+
+def _key(cells: list[Column]) -> Column:
     shift = 1 << 19
     return ((cells[0] + shift) * (1 << 40)) + ((cells[1] + shift) * (1 << 20)) + (cells[2] + shift)
 
@@ -124,52 +131,92 @@ def nearest_station(
     """Nearest station of each place within the limit; ties by smallest station id.
 
     ``places(place_id, latitude, longitude, *by)``, ``stations(station_id, latitude, longitude, *by)``.
-    Copies of a spot collapse first on both sides. Then spots meet only stations in the 27 cubes
-    around their own cube: first in small cubes, and only spots without a station closer than the
-    cube edge go on to larger ones. The largest edge is the limit, so the result is exact.
+    Copies of a spot collapse first on both sides. Then spots descend through cubes of falling edge,
+    from the limit on: a cube is kept if its nearest possible point is not farther than the nearest
+    station seen so far, so a spot meets a few cubes per level however dense the stations are, and
+    only the stations of the last cubes. Nothing is left out, so the result is exact.
     """
     by = by or []
     spot = [*by, "latitude", "longitude"]
-    spots = places.select(*spot).na.drop(subset=["latitude", "longitude"]).distinct()
-    # Every round reads the stations; pinned, what they are made from is read only once.
+    # Every level reads the stations; pinned, what they are made from is read only once.
     sites = pinned(stations.groupBy(*spot).agg(F.min("station_id").alias("station_id")))
-    none = F.lit(None).cast(f"struct<km:double,id:{stations.schema['station_id'].dataType.simpleString()}>")
-    found = spots.withColumn("_best", none)
-    for edge in (limit_km / 16, limit_km / 4, limit_km):
-        found = _search(found, sites, by, spot, edge)
-    near = found.filter(F.col("_best.km") <= limit_km).select(
-        *spot, F.col("_best.id").alias("station_id"), F.col("_best.km").alias("distance")
+    depth, sites = _depth(sites, by, limit_km)
+    finest = limit_km / 4**depth
+    spots = places.select(*spot).na.drop(subset=["latitude", "longitude"]).distinct()
+    axes = _axes("latitude", "longitude")
+    spots = spots.withColumns({f"_a{i}": a for i, a in enumerate(axes)})
+    start = spots.withColumns({f"_c{i}": F.floor(F.col(f"_a{i}") / finest) for i in range(3)})
+    seen = start.withColumn("_cube", _cube("_c", depth)).drop("_c0", "_c1", "_c2")
+    for level in range(depth + 1):
+        nodes = _nodes(sites, by, depth - level, first=level == 0)
+        seen = _closer(_met(seen, nodes, by, spot), spot, limit_km, limit_km / 4**level)
+    last = sites.select(
+        *by, _cube("_s", 0).alias("_cube"), "station_id",
+        F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"),
+    )
+    met = _met(seen, last, by, spot)
+    km = distance_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
+    best = met.groupBy(*spot).agg(F.min(F.struct(km.alias("km"), "station_id")).alias("_best"))
+    near = best.filter(F.col("_best.km") <= limit_km).select(
+        *spot, "_best.station_id", F.col("_best.km").alias("distance")
     )
     return attach(places, near, spot, "inner")
 
 
-def _search(spots: DataFrame, sites: DataFrame, by: list[str], spot: list[str], edge: float) -> DataFrame:
-    """One round: spots whose best is not yet certain look at the cubes of this edge."""
-    lat, lon = F.col("latitude"), F.col("longitude")
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    cubes = _cells(lat, lon, edge)
-    around = sites.select(
-        *by, "station_id", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"),
-        *[c.alias(f"_c{i}") for i, c in enumerate(cubes)],
-    )
-    for i in range(3):
-        around = around.withColumn(f"_d{i}", F.explode(steps))
-    around = around.withColumn(
-        "_cell", _cell_key([F.col(f"_c{i}") + F.col(f"_d{i}") for i in range(3)])
-    ).drop(*[f"_{x}{i}" for x in "cd" for i in range(3)])
-    # Certain: nothing outside the 27 cubes of the last round can be closer than the cube edge.
-    open_ = F.col("_best").isNull() | (F.col("_best.km") > edge / 4)
-    # Settled spots get a key of their own that no cube has, spread over all tasks.
-    key = F.when(open_, _cell_key(cubes)).otherwise(-F.abs(F.xxhash64(*spot) % (1 << 40)) - 1)
-    # A cube with very many spots is spread over salts; its stations repeat per salt.
-    salted = spots.withColumns(
-        {"_cell": key, "_salt": F.pmod(F.xxhash64(*spot), F.lit(SALTS)).cast("int")}
-    )
-    sided = around.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(sided, [*by, "_cell", "_salt"], "left")
-    km = distance_km(lat, lon, F.col("_lat"), F.col("_lon"))
-    seen = F.when(F.col("_lat").isNotNull(), F.struct(km.alias("km"), F.col("station_id").alias("id")))
-    # Pre-aggregated in the join task: only one row per spot and salt is shuffled.
-    return joined.groupBy(*spot).agg(
-        F.min(F.least(seen, F.col("_best"))).alias("_best")
+def _depth(sites: DataFrame, by: list[str], limit_km: float) -> tuple[int, DataFrame]:
+    """Levels until the fullest cube holds few stations, and the stations with their finest cubes."""
+    axes = _axes("latitude", "longitude")
+    for depth in range(2, 11):
+        edge = limit_km / 4**depth
+        placed = sites.withColumns({f"_s{i}": F.floor(a / edge) for i, a in enumerate(axes)})
+        if edge / 4 < FINEST_KM:
+            break
+        counts = placed.groupBy(*by, _cube("_s", 0).alias("_cube")).count()
+        if (counts.agg(F.max("count")).first()[0] or 0) <= FEW:
+            break
+    return depth, placed
+
+
+def _nodes(sites: DataFrame, by: list[str], up: int, *, first: bool) -> DataFrame:
+    """Occupied cubes of a level by the cube they are looked up with: the one above, or on the first
+    level each of the 27 around. A cube carries one of its stations as a bound."""
+    cells = [F.shiftright(F.col(f"_s{i}"), 2 * up).alias(f"_n{i}") for i in range(3)]
+    one = F.min_by(F.struct("latitude", "longitude"), "station_id").alias("_one")
+    cubes = sites.groupBy(*by, *cells).agg(one)
+    if first:
+        for i in range(3):
+            step = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
+            cubes = cubes.withColumn(f"_k{i}", step)
+        found = _key([F.col(f"_n{i}") + F.col(f"_k{i}") for i in range(3)])
+    else:
+        found = _cube("_n", 1)
+    own = [f"_n{i}" for i in range(3)]
+    return cubes.select(
+        *by, found.alias("_cube"), *own, F.col("_one.latitude").alias("_lat"), F.col("_one.longitude").alias("_lon")
     )
+
+
+def _met(seen: DataFrame, nodes: DataFrame, by: list[str], spot: list[str]) -> DataFrame:
+    # A cube with very many spots is spread over salts; what it meets repeats per salt.
+    salted = seen.withColumn("_salt", F.pmod(F.xxhash64(*spot), F.lit(SALTS)).cast("int"))
+    sided = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(sided, [*by, "_cube", "_salt"]).drop("_salt")
+
+
+def _closer(met: DataFrame, spot: list[str], limit_km: float, edge: float) -> DataFrame:
+    """Keep the cubes that can hold the nearest station; ``_cube`` becomes the cube met."""
+    gaps = [
+        F.greatest(
+            F.col(f"_n{i}") * edge - F.col(f"_a{i}"), F.col(f"_a{i}") - (F.col(f"_n{i}") + 1) * edge, F.lit(0.0)
+        )
+        for i in range(3)
+    ]
+    chord = F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2])
+    least = 2 * EARTH_KM * F.asin(F.least(chord / (2 * EARTH_KM), F.lit(1.0)))
+    km = distance_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
+    # A spot has a bounded number of cubes: 27 on the first level, then the parts of those kept.
+    sure = F.min("_km").over(Window.partitionBy(*spot))
+    slack = 1e-6  # a millimetre, for rounding of the bounds
+    bounded = met.withColumns({"_least": least, "_km": km}).withColumn("_sure", sure)
+    kept = bounded.filter((F.col("_least") <= F.col("_sure") + slack) & (F.col("_least") <= limit_km + slack))
+    return kept.select(*spot, "_a0", "_a1", "_a2", _key([F.col(f"_n{i}") for i in range(3)]).alias("_cube"))

@@ -197,6 +197,9 @@ def test_nearest_station_against_brute_force(spark):
     spots = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(150)]
     spots += [(200 + i, 89.9, rng.uniform(-180, 180)) for i in range(20)] + [(300, 10.0, 179.99)] + [(400 + i, 50.0, 10.0) for i in range(50)]
     sites = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(400)] + [(900, 10.0, -179.99), (901, 50.0, 10.01), (902, 50.0, 10.01)]
+    # A town with very many stations next to places that have none nearby.
+    sites += [(1000 + i, 48.0 + rng.random() / 500, 11.0 + rng.random() / 500) for i in range(600)]
+    spots += [(500 + i, 48.0 + rng.uniform(-1, 1), 11.0 + rng.uniform(-1, 1)) for i in range(60)]
     places = spark.createDataFrame(spots, "place_id long, latitude double, longitude double")
     stations = spark.createDataFrame(sites, "station_id long, latitude double, longitude double")
     got = {r["place_id"]: r["station_id"] for r in geo.nearest_station(places, stations, 700.0).collect()}
