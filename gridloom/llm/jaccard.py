@@ -7,12 +7,13 @@ A document's set holds the 64-bit hashes of its distinct `WORDS`-word shingles.
    stands for it from here on.
 2. Classes that share the smallest value of one of `KEYS` hash functions are compared with the first of
    them. This links almost all near copies, however many there are, by stars instead of pairs.
-3. The product. Shingles have one order for all documents: those in many documents last, the rest by hash.
-   Linked sets share shingles among their first n - ceil(0.8 n) + 1, so only that part of the incidence is
-   multiplied, and only pairs that step 2 left in different components are counted. The columns are dealt
-   into blocks by hash; each block adds up overlap counts of pairs of rows, and a very frequent column is cut
-   into cells of pairs of row blocks. Counts are summed over the blocks, and pairs below the least overlap
-   that their sizes demand are dropped.
+3. The product. Shingles have one order for all documents: the frequent ones last, by how frequent they are,
+   the rest first, by hash. Linked sets share shingles among their first n - ceil(0.8 n) + 1, so only that
+   part of the incidence is multiplied, and only pairs that step 2 left in different components count. The
+   columns are dealt into blocks by hash, a very frequent column into cells of pairs of row blocks. Each
+   block adds up the overlaps of its pairs. Sizes m and n demand an overlap of alpha = ceil(0.8 (m + n) /
+   1.8), so the first shared shingle has at most m - alpha others of its set before it, and n - alpha of the
+   other: overlaps further back are not counted, and pairs without any are dropped.
 4. What is left is compared exactly, on the whole sets, and the components of all links are formed.
 
 No link between different sets is lost: step 2 only links what it has compared, and step 3 skips nothing but
@@ -36,9 +37,9 @@ from gridloom.llm.graph import components
 
 WORDS, PERCENT = 5, 80
 KEYS = 4
-#: A shingle in more than this share of documents is ordered last; at most shingles per document / share exist.
-FREQUENT = 1 / 500
-HELD_HASHES = 1 << 21
+#: The most frequent shingles, at most so many, are ordered last. A task reports those it sees so often.
+FREQUENT, REPORTED = 1 << 18, 3
+HELD_HASHES = 1 << 22
 CELL_ROWS = 1000
 LEAD_ROWS = 500
 #: Rows up to which a side is broadcast; beyond it the join is shuffled.
@@ -72,11 +73,11 @@ def summaries(docs: DataFrame) -> DataFrame:
     kinds = {"doc_id": "Int64", "n": "Int64", "s1": "Int64", "s2": "Int64", "gram": "Int64", "seen": "Int64"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, rows = [], 0, 0
+        held, size = [], 0
 
         def frequent() -> pd.DataFrame:
             grams, seen = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, int))
-            kept = seen >= max(3, rows * FREQUENT)
+            kept = seen >= REPORTED
             made = pd.DataFrame({"gram": _signed(grams[kept]), "seen": seen[kept]}).reindex(columns=names).astype(kinds)
             return made.assign(keys=pd.Series([None] * len(made), dtype=object))
 
@@ -88,11 +89,11 @@ def summaries(docs: DataFrame) -> DataFrame:
                 s1, s2 = (int(_signed(x.sum(dtype=np.uint64))) for x in (m, mixed(m * _STEP)))
                 out.append((doc, len(s), s1, s2, keys, None, None))
                 held.append(s)
-                size, rows = size + len(s), rows + 1
+                size += len(s)
             yield pd.DataFrame(out, columns=names).astype(kinds)
             if size >= HELD_HASHES:
                 yield frequent()
-                held, size, rows = [], 0, 0
+                held, size = [], 0
         yield frequent()
 
     small_batches(docs.sparkSession)
@@ -159,13 +160,14 @@ def prefix(s: np.ndarray, grams: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return s[:length]
 
 
-_ENTRY = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("root", "<i8"), ("n", "<u4"), ("side", "u1")])
+_ENTRY = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("root", "<i8"), ("n", "<u4"), ("place", "<u4"), ("side", "u1")])
 
 
 def _entries(doc: int, root: int, n: int, grams: np.ndarray, cells: dict[int, int]) -> np.ndarray:
     """Rows of the incidence; a very frequent column appears once for each cell its document's block is in."""
     out = np.empty(len(grams), _ENTRY)
     out["gram"], out["doc"], out["root"], out["n"], out["side"] = grams, doc, root, n, 0
+    out["place"] = np.arange(len(grams))
     many = [i for i, g in enumerate(grams.tolist()) if g in cells] if cells else []
     if not many:
         return out
@@ -198,47 +200,47 @@ def overlap_counts(block: np.ndarray) -> pd.DataFrame:
     totals: list[np.ndarray] = []
     while len(rows):
         a, b = block[rows], block[rows + ahead]
-        low, high = np.minimum(a["n"], b["n"]).astype(np.int64), np.maximum(a["n"], b["n"]).astype(np.int64)
-        ok = (a["root"] != b["root"]) & (a["doc"] != b["doc"]) & (100 * low >= PERCENT * high) & ((a["side"] == 0) | (a["side"] != b["side"]))
+        na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
+        alpha = -(-PERCENT * (na + nb) // (100 + PERCENT))
+        ok = (a["root"] != b["root"]) & (a["doc"] != b["doc"]) & ((a["side"] == 0) | (a["side"] != b["side"]))
+        ok &= (a["place"] <= na - alpha) & (b["place"] <= nb - alpha)  # false for sizes too far apart
         if ok.any():
             a, b = a[ok], b[ok]
             swap = a["doc"] > b["doc"]
-            pair = np.empty((len(a), 4), np.int64)
-            for i, name in ((0, "doc"), (2, "n")):
-                pair[:, i] = np.where(swap, b[name], a[name])
-                pair[:, i + 1] = np.where(swap, a[name], b[name])
-            found.append(pair)
-            held += len(pair)
+            found.append(np.stack([np.where(swap, b["doc"], a["doc"]), np.where(swap, a["doc"], b["doc"])], axis=1))
+            held += len(a)
             if held > 4_000_000:
-                totals.append(_added(found, totals))
-                found, totals, held = [], totals[-1:], 0
+                totals = [_added(found, totals)]
+                found, held = [], 0
         ahead += 1
         rows = rows[left[rows] >= ahead]
     total = _added(found, totals)
-    return pd.DataFrame(total, columns=["a", "b", "na", "nb", "shared"])
+    return pd.DataFrame(total, columns=["a", "b", "shared"])
 
 
 def _added(found: list[np.ndarray], totals: list[np.ndarray]) -> np.ndarray:
     rows = [np.c_[f, np.ones(len(f), np.int64)] for f in found] + totals
     if not rows:
-        return np.empty((0, 5), np.int64)
+        return np.empty((0, 3), np.int64)
     rows = np.concatenate(rows)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
     out = rows[starts]
-    out[:, 4] = np.add.reduceat(rows[:, 4], starts)
+    out[:, 2] = np.add.reduceat(rows[:, 2], starts)
     return out
 
 
 def product_pairs(docs: DataFrame, marks: DataFrame, frequent: pd.DataFrame) -> DataFrame:
-    """Pairs (a, b) in different components whose overlap in the multiplied part reaches the least one."""
+    """Pairs (a, b) in different components that overlap where their sizes demand it."""
     spark = docs.sparkSession
     order = np.argsort(frequent["gram"].to_numpy(np.int64).view(np.uint64))
     grams, seen = frequent["gram"].to_numpy(np.int64).view(np.uint64)[order], frequent["seen"].to_numpy(np.int64)[order]
     cells = {int(g): -(-int(c) // CELL_ROWS) for g, c in zip(grams, seen) if c > CELL_ROWS}
     blocks = 4 * partitions(spark)
+    shared = spark.sparkContext.broadcast((grams, seen, cells))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grams, seen, cells = shared.value
         held, size = [], 0
 
         def cut() -> pd.DataFrame:
@@ -276,17 +278,20 @@ def product_pairs(docs: DataFrame, marks: DataFrame, frequent: pd.DataFrame) ->
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text").join(marks, "doc", "left")
     texts = texts.select("doc", "text", F.coalesce("root", "doc").alias("root"), F.coalesce("skip", F.lit(False)).alias("skip"))
     dealt = texts.mapInPandas(deal, "block int, rows binary").repartition(partitions(spark), "block").sortWithinPartitions("block")
-    counted = dealt.mapInPandas(multiply, "a long, b long, na long, nb long, shared long")
+    return dealt.mapInPandas(multiply, "a long, b long, shared long").select("a", "b").distinct()
 
-    def least(n: str):
-        """Of the first p shingles of one of the two, at most n - alpha are not shared."""
-        alpha = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / (100 + PERCENT))
-        return F.col(n) - F.ceil(PERCENT * F.col(n) / 100) + 1 - (F.col(n) - alpha)
 
-    return (
-        counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        .where(F.col("shared") >= F.greatest(F.lit(1), F.least(least("na"), least("nb")))).select("a", "b")
-    )
+def most_frequent(sums: DataFrame) -> pd.DataFrame:
+    """Reported shingles with their counts, cut at the count that leaves at most FREQUENT of them."""
+    grams = sums.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("seen"))
+    step = F.floor(F.log2(F.col("seen").cast("double")) * 8)
+    left, least = FREQUENT, None
+    for row in grams.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("seen").alias("least")).orderBy(F.desc("step")).collect():
+        left -= row["n"]  # a few hundred steps at most
+        if left < 0:
+            break
+        least = row["least"]
+    return grams.where(F.lit(False) if least is None else F.col("seen") >= least).toPandas()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -295,11 +300,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sums = summaries(docs)
     rows = sums.where("gram IS NULL").select("doc_id", "n", "s1", "s2", "keys")
-    total = rows.count()
-    frequent = (
-        sums.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("seen"))
-        .where(F.col("seen") >= max(3, 0.5 * FREQUENT * total)).toPandas()
-    )
+    frequent = most_frequent(sums)
     kind = ["n", "s1", "s2"]
     classes = stored(
         rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*kind)
