@@ -41,30 +41,35 @@ class Shard:
         before = later(-1)
         self.string = np.repeat(np.arange(len(strings)), sizes)[order]
         self.offset = inner[order]
+        place = np.empty(n, dtype=np.int64)
+        place[order] = np.arange(n)
+        self.front = place[before[before]][order]  # the row that begins with the two symbols before this one
         self.pairs = (symbols[before[before]] << np.uint64(8) | symbols[before])[order].astype(np.uint16)
 
 
 def merged(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all shards in the order of their first ``depth`` symbols, and the number of each row's class.
+    """Rows of all shards that share their first ``depth`` symbols with another row, and each row's class.
 
-    Rows of one class agree in those symbols: their common prefix is at least ``depth`` long. The interleave
-    starts as one shard after the other, sorted by no symbol. Each step reads the symbols in front of
-    the rows in interleaved order and sorts them stably: that is the interleave by two symbols more, and a
-    border stays where two rows differ in them or came from different classes. No suffix is compared again.
+    The interleave starts as one shard after the other, sorted by no symbol. Each step reads the two symbols in
+    front of the rows, in interleaved order, sorts them stably and moves to the rows that begin with them: that
+    is the interleave by two symbols more. A border between neighbours stays where they differ in these symbols
+    or came from different classes, so neighbours of one class have a common prefix of that length. A row alone
+    in its class leaves, for whatever stands in front of it is alone too. No suffix is compared again.
     """
+    starts = np.cumsum([0] + [len(s.pairs) for s in shards])
+    place = np.int32 if starts[-1] < 1 << 31 else np.int64
     pairs = np.concatenate([s.pairs for s in shards])
-    owner = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.pairs) for s in shards])
-    n = len(pairs)
-    rows, group = np.arange(n), np.zeros(n, dtype=np.int64)
+    front = np.concatenate([s.front + start for s, start in zip(shards, starts)]).astype(place)
+    rows, group = np.arange(len(pairs), dtype=place), np.zeros(len(pairs), dtype=place)
     for _ in range(depth // 2):
-        front = pairs[rows]
-        order = np.argsort(front, kind="stable")
-        front, group = front[order], group[order]
-        border = np.r_[False, (front[1:] != front[:-1]) | (group[1:] != group[:-1])]
-        group = np.cumsum(border)
-        taken = np.argsort(owner[rows[order]], kind="stable")
-        rows = np.empty(n, dtype=np.int64)
-        rows[taken] = np.arange(n)
+        symbols = pairs[rows]
+        order = np.argsort(symbols, kind="stable")
+        symbols, group, rows = symbols[order], group[order], front[rows[order]]
+        border = np.ones(len(rows) + 1, dtype=bool)
+        np.not_equal(symbols[1:], symbols[:-1], out=border[1:-1])
+        border[1:-1] |= group[1:] != group[:-1]
+        shared = ~(border[:-1] & border[1:])
+        rows, group = rows[shared], np.cumsum(border[:-1], dtype=place)[shared]
     return rows, group
 
 
@@ -81,7 +86,7 @@ def shards_of(strings: list[bytes]) -> list[list[int]]:
 
 
 def repeated(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, string, offset) of every place with ``depth`` bytes, sorted by class."""
+    """(class, string, offset) of every place whose ``depth`` bytes stand elsewhere too, sorted by class."""
     parts = shards_of(strings)
     shards = [Shard([strings[i] for i in part]) for part in parts]
     rows, group = merged(shards, depth)
