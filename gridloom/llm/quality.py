@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             if not known or not len(texts):
                 yield pd.Series(np.full(len(texts), 0.5))
                 continue
-            x = np.stack([pool(t) for t in texts])
-            yield pd.Series(_sigmoid(_logit(known["net"], x) / known["heat"]))
+            rows = [_logit(known["net"], pool(t)[None]) for t in texts]  # one by one: equal texts, equal scores
+            yield pd.Series(_sigmoid(np.concatenate(rows) / known["heat"]))
 
     return docs.withColumn("score", rate("text")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
