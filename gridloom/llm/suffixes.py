@@ -261,8 +261,8 @@ def _earlier(rows: np.ndarray, strings: list[bytes]) -> np.ndarray:
     group, string, offset = repeated(strings, DEPTH)
     doc, start = rows["doc"][string], rows["start"][string].astype(np.int64) + offset
     order = np.lexsort((start, doc, group))
-    again = np.r_[False, group[order][1:] == group[order][:-1]]
-    chosen = order[again]
+    again = group[order][1:] == group[order][:-1]  # empty where no place has a twin in this block
+    chosen = order[1:][again]
     out = np.empty(len(chosen), SPAN)
     out["doc"], out["start"], out["count"] = doc[chosen], start[chosen], 1
     return out
