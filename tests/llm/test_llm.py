@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +24,7 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, s
 FOLDER = "/root/testdata/sf0.001"
 
 
+@cache
 def texts() -> list[tuple]:
     rng = random.Random(5)
     words = ["".join(rng.choice("aeiouthnsr") for _ in range(rng.randrange(1, 9))) for _ in range(150)]
