@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import bpe, fingerprints, html_text, jaccard, language, neighbours, packing, quality, sharding, suffixes
+from gridloom.llm import bpe, fingerprints, html_text, jaccard, language, neighbours, packing, quality, rules, sharding, suffixes
 from gridloom.llm.common import read, remainder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -64,10 +64,16 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = rules.judge(docs, rules.learn(docs, read(spark, sf_dir, "labels")))
+    return judged.select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     queries = [
         op1_bpe, op2_quality, op3_fingerprints, op4_jaccard, op5_language, op6_html, op7_suffixes, op8_sharding,
-        op9_packing, op10_neighbours,
+        op9_packing, op10_neighbours, op13_rules,
     ]
     sql = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
     return {q.__name__: q for q in queries} | {"pipeline": corpus_pipeline.run}, sql
