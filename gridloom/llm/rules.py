@@ -160,12 +160,13 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, SAMPLE / 2 / n[k]) if k in n else 0.0 for k in (0, 1)}
     chosen = known.where(draw("doc_id", "rules") < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
-    # about SAMPLE rows of two numbers at most
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(texts).where(~base_failed())
-    return stored(
-        rows.select("label", (draw("doc_id", "grow") < 2 / 3).alias("grows"), *TESTED).coalesce(8), "rule-sample"
-    ) if share[0] and share[1] else spark.createDataFrame([], "label int, grows boolean")
+    if not share[0] or not share[1]:
+        return spark.createDataFrame([], "label int, grows boolean")
+    # About SAMPLE rows of two numbers at most. Their texts are stored before anything is made of them: the
+    # optimizer would otherwise test all texts below the join.
+    texts = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "rule-texts")
+    rows = with_statistics(texts.repartition(8)).where(~base_failed())
+    return stored(rows.select("label", (draw("doc_id", "grow") < 2 / 3).alias("grows"), *TESTED), "rule-sample")
 
 
 def thresholds(sample: DataFrame) -> dict[str, list[float]]:
