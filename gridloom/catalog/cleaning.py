@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog import query
-from gridloom.catalog.fixtures import akima_sql, p_ampm, p_dst, p_events, r, with_sql
+from gridloom.catalog.fixtures import SQL, akima_sql, p_ampm, p_dst, p_events, r, with_sql
 from gridloom.operators import clean
 
 SPRING = "month(ts) = 3 AND day(ts) > 24 AND isodow(ts) = {day} AND hour(ts) = 2"
@@ -63,8 +63,11 @@ def _(spark, folder):
 C5_STEPS = HALF_STEPS | {
     "one": "SELECT series, ts, value FROM fixed QUALIFY row_number() OVER (PARTITION BY series, ts ORDER BY seq) = 1",
     "hour": "SELECT series, date_trunc('hour', ts) AS ts, avg(value) AS value FROM one GROUP BY 1, 2",
+    "span": "SELECT series, min(ts) AS a, max(ts) AS b FROM hour GROUP BY 1",
+    "every": "SELECT series, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM span",
+    "even": "SELECT e.series, e.ts, h.value FROM every e LEFT JOIN hour h ON h.series = e.series AND h.ts = e.ts",
     "calm": "SELECT series, ts, CASE WHEN value = lag(value) OVER (PARTITION BY series ORDER BY ts) THEN NULL "
-    "ELSE value END AS value FROM hour",
+    "ELSE value END AS value FROM even",
 }
 
 
@@ -77,6 +80,22 @@ def _(spark, folder):
     return repaired.select("series", "ts", r("value").alias("value"))
 
 
+GAPS = "hour(ts) NOT IN (3, 4) AND day(ts) % 7 <> 3"
+
+
+@query(
+    "c5_empty_hours",
+    with_sql(
+        "", "SELECT series, ts, round(value, 6) AS value FROM akima",
+        **({"p_ampm": f"SELECT * FROM ({SQL['p_ampm']}) WHERE {GAPS}"} | C5_STEPS | akima_sql("calm")),
+    ),
+)
+def _(spark, folder):
+    """Hours and whole days are missing: they are there afterwards, interpolated."""
+    gappy = p_ampm(spark, folder).filter(GAPS)
+    return clean.repair_half_day_meter(gappy).select("series", "ts", r("value").alias("value"))
+
+
 FROZEN_SQL = "SELECT event_type AS series, ts, floor(value / 8) AS value FROM events"
 
 

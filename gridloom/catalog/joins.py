@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog import query
 from gridloom.catalog.fixtures import (
-    EVENTS, event_units, obis_titles, observation, p_events, p_gaps, place, r, station, weather_daily,
+    EVENTS, akima_sql, event_units, obis_titles, observation, p_events, p_gaps, place, r, station, weather_daily,
     weather_units, with_sql,
 )
 from gridloom.catalog.tables import WIDE_WEATHER, wide_weather
 from gridloom.catalog.windows import linear_sql
 from gridloom.functions import obis, units
 from gridloom.operators import curves, geo, meta, resample, weather
+from gridloom.plans import weather_page
+from gridloom.session import fixed_table
 
 KM = (
     "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(s.latitude - p.latitude) / 2), 2) + cos(radians(p.latitude)) "
@@ -152,6 +154,120 @@ def _(spark, folder):
     return near.select("place_id", "parameter", "station_id", r("distance").alias("distance"))
 
 
+SPANS = [("1993-01-01", "1994-12-31"), ("1995-09-01", "1997-03-31")]
+READINGS = (
+    "SELECT l_suppkey % 8 AS station_id, l_returnflag AS parameter, CASE l_returnflag WHEN 'A' THEN 'monthly' ELSE 'daily' END AS resolution, "
+    "CASE l_returnflag WHEN 'A' THEN date_trunc('month', l_shipdate)::TIMESTAMP ELSE l_shipdate END AS date, "
+    "avg(CASE WHEN l_suppkey % 4 = 3 AND day(l_shipdate) % 5 = 0 THEN NULL ELSE l_quantity END) AS value FROM lineitem GROUP BY 1, 2, 3, 4"
+)
+SITES = (
+    "SELECT s_suppkey % 8 AS station_id, round(avg(47.0::DOUBLE + (s_suppkey * 37 % 80) / 10.0::DOUBLE), 4) AS latitude, "
+    "round(avg(6.0::DOUBLE + (s_suppkey * 53 % 90) / 10.0::DOUBLE), 4) AS longitude FROM supplier GROUP BY 1"
+)
+WISHES = (
+    "SELECT place_id, latitude, longitude, parameter, start, \"end\" FROM (SELECT s_suppkey AS place_id, 47.0::DOUBLE + (s_suppkey * 41 % 80) / 10.0::DOUBLE AS latitude, "
+    "6.0::DOUBLE + (s_suppkey * 59 % 90) / 10.0::DOUBLE AS longitude FROM supplier), (VALUES ('A'), ('N'), ('R'), ('X')) f(parameter), "
+    "(VALUES " + ", ".join(f"(TIMESTAMP '{a}', TIMESTAMP '{b}')" for a, b in SPANS) + ") p(start, \"end\")"
+)
+
+
+def readings(spark, folder):
+    """Eight weather stations: A monthly, N and R daily; two of the stations lack every fifth day."""
+    from gridloom.catalog.fixtures import table
+
+    monthly = F.col("l_returnflag") == "A"
+    lost = (F.col("l_suppkey") % 4 == 3) & (F.dayofmonth("l_shipdate") % 5 == 0)
+    date = F.when(monthly, F.date_trunc("month", "l_shipdate").cast("timestamp_ntz")).otherwise(F.col("l_shipdate"))
+    return table(spark, folder, "lineitem").groupBy(
+        (F.col("l_suppkey") % 8).alias("station_id"), F.col("l_returnflag").alias("parameter"),
+        F.when(monthly, "monthly").otherwise("daily").alias("resolution"), date.alias("date"),
+    ).agg(F.avg(F.when(~lost, F.col("l_quantity"))).alias("value"))
+
+
+def sites(spark, folder):
+    return station(spark, folder).groupBy((F.col("station_id") % 8).alias("station_id")).agg(
+        F.round(F.avg("latitude"), 4).alias("latitude"), F.round(F.avg("longitude"), 4).alias("longitude")
+    )
+
+
+def wishes(spark, folder):
+    """Every parameter, also one that is never observed, in two spans for each supplier's place."""
+    spans = F.array(*[F.struct(F.lit(a).cast("timestamp_ntz").alias("start"), F.lit(b).cast("timestamp_ntz").alias("end")) for a, b in SPANS])
+    places = station(spark, folder).select(
+        F.col("station_id").alias("place_id"), (47.0 + (F.col("station_id") * 41 % 80) / 10.0).alias("latitude"),
+        (6.0 + (F.col("station_id") * 59 % 90) / 10.0).alias("longitude"), F.explode(F.array(*[F.lit(x) for x in "ANRX"])).alias("parameter"),
+    )
+    return places.select("*", F.inline(spans))
+
+
+CHAIN = {
+    "obs": READINGS, "s0": SITES, "ask": WISHES,
+    "used": "SELECT parameter, min(resolution) AS resolution FROM obs GROUP BY 1",
+    "cnt": "SELECT station_id, o.parameter, o.resolution, start, \"end\", count(value) AS n FROM obs o JOIN (SELECT DISTINCT start, \"end\" FROM ask) p "
+    "ON o.date BETWEEN p.start AND p.\"end\" GROUP BY 1, 2, 3, 4, 5",
+    "live": "SELECT s0.*, parameter, resolution, start, \"end\" FROM cnt JOIN s0 USING (station_id) WHERE n / (CASE resolution WHEN 'daily' THEN date_diff('day', start, \"end\") + 1 "
+    "ELSE date_diff('month', start, \"end\") + 1 END)::DOUBLE >= 0.9",
+    "near": "SELECT p.place_id, p.parameter, s.resolution, p.start, p.\"end\", s.station_id, " + KM + " AS distance FROM ask p JOIN live s ON s.parameter = p.parameter AND s.start = p.start "
+    "AND s.\"end\" = p.\"end\" AND " + KM + " <= 150 QUALIFY row_number() OVER (PARTITION BY p.place_id, p.parameter, p.start, p.\"end\" ORDER BY " + KM + ", s.station_id) = 1",
+}
+
+
+@query(
+    "g6_nearest_covering_station",
+    with_sql("", "SELECT place_id, parameter, start, \"end\", station_id, round(distance, 6) AS distance FROM near", **CHAIN),
+)
+def _(spark, folder):
+    """The nearest station may be too sparse: the nearest one with nine tenths of the values wins."""
+    observed = readings(spark, folder)
+    asked = wishes(spark, folder).join(weather.closest_resolution(observed, "daily"), "parameter")
+    near = weather.nearest_covering(asked, sites(spark, folder), observed)
+    return near.select("place_id", "parameter", "start", "end", "station_id", r("distance").alias("distance"))
+
+
+E2_UNITS = [("A", "J/cm**2"), ("N", "°C"), ("R", "pct")]
+
+
+def _weather(spark, folder):
+    units_of = fixed_table(spark, E2_UNITS, "parameter, unit")
+    return weather_page.collect(wishes(spark, folder), sites(spark, folder), readings(spark, folder), units_of, "daily")
+
+
+@query(
+    "e2_weather",
+    with_sql(
+        "", "SELECT place_id, n.start, n.\"end\", ts, round(any_value(value * 2.778::DOUBLE) FILTER (n.parameter = 'A'), 4) AS a, "
+        "round(any_value(value) FILTER (n.parameter = 'N'), 4) AS n, round(any_value(value) FILTER (n.parameter = 'R'), 4) AS r FROM near n JOIN akima k "
+        "ON k.series = concat_ws('|', n.station_id, n.parameter, n.start) GROUP BY 1, 2, 3, 4",
+        **CHAIN,
+        keys="SELECT DISTINCT station_id, parameter, resolution, start, \"end\" FROM near",
+        p="SELECT concat_ws('|', o.station_id, o.parameter, k.start) AS series, date AS ts, value, o.parameter FROM obs o JOIN keys k ON k.station_id = o.station_id "
+        "AND k.parameter = o.parameter AND k.resolution = o.resolution AND date BETWEEN k.start AND k.\"end\"",
+        sp="SELECT series, any_value(parameter) AS parameter, min(ts) AS a, max(ts) AS b, epoch_us(max(ts)) - epoch_us(min(ts)) AS w, count(ts) AS n FROM p GROUP BY 1",
+        sc="SELECT p.series, ts, value * CASE WHEN sp.parameter IN ('N', 'R') THEN 1.0 ELSE 86400.0::DOUBLE / (w / 1000000 / (n - 1)) END AS value FROM p JOIN sp USING (series)",
+        gr="SELECT series, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS ts FROM sp",
+        oj="SELECT coalesce(s.series, g.series) AS series, coalesce(s.ts, g.ts) AS ts, s.value FROM sc s FULL JOIN gr g ON s.series = g.series AND s.ts = g.ts",
+        **akima_sql("oj"),
+    ),
+)
+def _(spark, folder):
+    """Resolution, nearest covering station, values, even steps, parameters side by side, W/m2."""
+    wide = weather_page.wide(_weather(spark, folder), ["A", "N", "R"])
+    return wide.select("place_id", "start", "end", "ts", *[r(c, 4).alias(c.lower()) for c in "ANR"])
+
+
+@query(
+    "e2_weather_report",
+    with_sql(
+        "", "SELECT ask.place_id, ask.parameter, ask.start, ask.\"end\", u.resolution, n.station_id, round(n.distance, 6) AS distance, "
+        "CASE WHEN n.station_id IS NULL THEN 'none' WHEN u.resolution <> 'daily' THEN 'other resolution' ELSE 'ok' END AS status "
+        "FROM ask LEFT JOIN used u ON u.parameter = ask.parameter LEFT JOIN near n ON n.place_id = ask.place_id AND n.parameter = ask.parameter AND n.start = ask.start AND n.\"end\" = ask.\"end\"",
+        **CHAIN,
+    ),
+)
+def _(spark, folder):
+    return _weather(spark, folder).report.withColumn("distance", r("distance"))
+
+
 ASKED = "SELECT place_id, replace(name, '#', '  #' || chr(10)) AS address FROM place WHERE place_id % 7 <> 0 UNION ALL SELECT place_id, 'nowhere' FROM place WHERE place_id % 7 = 0"
 
 

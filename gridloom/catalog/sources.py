@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog import query
+from gridloom.catalog.cleaning import C5_STEPS
 from gridloom.catalog.fixtures import (
-    ORDER_UNITS, event_units, observation, p_events, p_orders, place, r, table, with_sql,
+    ORDER_UNITS, akima_sql, event_units, observation, p_ampm, p_events, p_orders, place, r, table, with_sql,
 )
 from gridloom.catalog.metadata import PAIRS
 from gridloom.catalog.sheets import SHEET_SQL, sheet_cells, sheet_path
 from gridloom.catalog.tables import WIDE_WEATHER, wide_weather
 from gridloom.functions import times
 from gridloom.operators import clean, curves, resample, weather
-from gridloom.plans import load_profile
+from gridloom.plans import load_profile, meter_folder, results
 from gridloom.session import scratch_path
 from gridloom.sources import kml, sheet, sinks
 
@@ -23,6 +24,17 @@ def _(spark, folder):
     return sheet_cells(spark, folder).drop("seq")
 
 
+@query("s1_bare_title_line", f"WITH {SHEET_SQL} SELECT c0 AS _c0, c1 AS _c1, c2 AS _c2, c3 AS _c3, c4 AS _c4, c5 AS _c5 FROM sheet")
+def _(spark, folder):
+    """The title line holds one cell and no separator; all columns of the sheet are there."""
+    cells = sheet_cells(spark, folder)
+    names = [c for c in cells.columns if c != "seq"]
+    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in names])
+    path = scratch_path(spark, "bare")
+    cells.orderBy("seq").select(F.when(F.col("_c0") == "Lastgang", F.col("_c0")).otherwise(line).alias("line")).write.text(path)
+    return sheet.read_cells(spark, path).drop("seq")
+
+
 IMPORTED = {
     "ren": "SELECT * FROM (VALUES ('click', 'click', ' kWh'), ('view', 'view', ' kW'), ('purchase', 'purchase', ' °C'), ('error', 'error', ' m³'), "
     "('signup', 'Bezug (1-1:1.29)', ' kWh')) AS v(event, series, unit)",
@@ -86,6 +98,40 @@ def _(spark, folder):
     return read.select(name.alias("file"), "Zeitstempel", F.col("momentane Leistung kW").cast("double").alias("momentane Leistung kW"))
 
 
+HEADERS = {
+    "click": ["Zeitstempel", "momentane Leistung kW", "Bemerkung"],
+    "view": ["Bemerkung", "momentane Leistung kW", "Zeitstempel"],
+    "purchase": ["mittlere Leistung kW", "Zeitstempel"],
+    "error": ["Bemerkung"],
+    "signup": ["Zeitstempel", "Bemerkung", "mittlere Leistung kW", "momentane Leistung kW"],
+}
+
+
+@query(
+    "s5_mixed_headers",
+    "SELECT event_type AS file, strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"Zeitstempel\", "
+    "CASE WHEN event_type <> 'purchase' THEN value END AS \"momentane Leistung kW\", "
+    "CASE WHEN event_type IN ('purchase', 'signup') THEN value * 2 END AS \"mittlere Leistung kW\" "
+    "FROM events WHERE event_type <> 'error'",
+)
+def _(spark, folder):
+    """Files with other columns in another order: values by name; a file without wanted columns is left out."""
+    path = scratch_path(spark, "mixed")
+    columns = {
+        "Zeitstempel": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "momentane Leistung kW": F.col("value"),
+        "mittlere Leistung kW": F.col("value") * 2, "Bemerkung": F.lit("x, y"),
+    }
+    for name, header in HEADERS.items():
+        own = p_events(spark, folder).filter(F.col("series") == name)
+        own.select(*[columns[c].alias(c) for c in header]).write.csv(f"{path}/file={name}", header=True)
+    read = sheet.read_folder(spark, path, ["Zeitstempel", "Leistung kW"])
+    number = lambda c: F.col(f"`{c}`").cast("double").alias(c)
+    return read.select(
+        F.regexp_extract("source_file", "file=([^/]+)/", 1).alias("file"), "Zeitstempel",
+        number("momentane Leistung kW"), number("mittlere Leistung kW"),
+    )
+
+
 def _kml_path(spark, folder):
     """Places as placemarks: most as points, every tenth as a line."""
     path = scratch_path(spark, "places") + ".kml"
@@ -161,6 +207,56 @@ def _(spark, folder):
     return read[0].unionByName(read[1]).unionByName(read[2])
 
 
+def _formats(names: str, monthly: bool) -> str:
+    """Number formats of one table ``(series, value)`` in SQL."""
+    unit = "coalesce(unit, '')"
+    if monthly:
+        unit = f"{unit} || CASE WHEN lower(trim(coalesce(unit, ''))) IN ('w', 'kw', 'mw') THEN 'h' ELSE '' END"
+    return (
+        f"SELECT series, CASE WHEN abs(q95) >= 1000 THEN '#,##0' WHEN abs(q95) >= 100 THEN '#,##0.0' WHEN abs(q95) >= 10 THEN '#,##0.00' ELSE '#,##0.000' END "
+        f"|| '\"' || {unit} || '\"' AS number_format FROM (SELECT series, min(value) FILTER (rn = round((n - 1) * 0.95::DOUBLE) + 1) AS q95 FROM "
+        f"(SELECT *, row_number() OVER (PARTITION BY series ORDER BY value) AS rn, count(*) OVER (PARTITION BY series) AS n FROM {names} WHERE value IS NOT NULL) GROUP BY 1) "
+        "LEFT JOIN event_units USING (series)"
+    )
+
+
+BUNDLE = {
+    "mon": "SELECT h.series, date_trunc('month', ts) + INTERVAL 14 DAY AS ts, date_trunc('month', ts)::TIMESTAMP AS orgidx, CASE WHEN any_value(coalesce(unit, '') IN ('°C', 'm³')) "
+    "THEN avg(value) ELSE sum(value) END AS value FROM h_events h LEFT JOIN event_units u ON u.series = h.series GROUP BY 1, 2, 3",
+    "f1": _formats("p_events", False), "f2": _formats("h_events", False), "f3": _formats("mon", True),
+}
+
+
+@query(
+    "s9_result_bundle",
+    with_sql(
+        "p_events h_events event_units",
+        "SELECT 'Daten' AS sheet, series, ts, ts AS orgidx, NULL::BIGINT AS rank, round(value, 6) AS value, NULL AS number_format FROM p_events "
+        "UNION ALL SELECT 'Stundenwerte', series, ts, ts, NULL, round(value, 6), NULL FROM h_events "
+        "UNION ALL SELECT 'Jahresdauerlinie', series, ts, NULL, row_number() OVER (PARTITION BY series ORDER BY value DESC, ts) - 1, round(value, 6), NULL FROM h_events "
+        "UNION ALL SELECT 'Monatswerte', series, ts, orgidx, NULL, round(value, 6), NULL FROM mon "
+        "UNION ALL SELECT 'Format Daten', series, NULL, NULL, NULL, NULL, number_format FROM f1 "
+        "UNION ALL SELECT 'Format ' || s, series, NULL, NULL, NULL, NULL, number_format FROM f2, (VALUES ('Stundenwerte'), ('Jahresdauerlinie')) v(s) "
+        "UNION ALL SELECT 'Format Monatswerte', series, NULL, NULL, NULL, NULL, number_format FROM f3 "
+        "UNION ALL SELECT 'Format ' || s, c, NULL, NULL, NULL, NULL, 'DD.MM.YYYY hh:mm' FROM (VALUES ('Daten'), ('Stundenwerte'), ('Jahresdauerlinie'), ('Monatswerte')) v(s), (VALUES ('ts'), ('orgidx')) w(c)",
+        **BUNDLE,
+    ),
+)
+def _(spark, folder):
+    """All tables of the bundle as they were written, each with its own columns, and the formats."""
+    path = scratch_path(spark, "bundle")
+    data = p_events(spark, folder).select("series", "ts", "value")
+    shown = None
+    for name in results.write(data, event_units(spark), path):
+        df = spark.read.parquet(f"{path}/{name}")
+        sheet_name = F.concat(F.lit("Format "), "sheet") if name == "Format" else F.lit(name)
+        kinds = {"ts": "timestamp_ntz", "orgidx": "timestamp_ntz", "rank": "long", "value": "double", "number_format": "string"}
+        columns = [(F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]
+        part = df.select(sheet_name.alias("sheet"), "series", *columns)
+        shown = part if shown is None else shown.unionByName(part)
+    return shown.withColumn("value", r("value"))
+
+
 @query(
     "s10_simulation_csv",
     with_sql(
@@ -193,3 +289,23 @@ def _(spark, folder):
     return spark.read.parquet(path).select("source_file", "ts", r("value", 4).alias("value"))
 
 
+@query(
+    "s11_repaired_folder",
+    with_sql(
+        "", "SELECT series AS source_file, 'momentane Leistung kW' AS \"column\", ts, round(value, 6) AS value FROM akima",
+        p_ampm="SELECT event_type AS series, event_id AS seq, date_trunc('second', ts) + (CASE WHEN hour(ts) = 0 THEN 12 WHEN hour(ts) > 12 THEN -12 ELSE 0 END) * INTERVAL 1 HOUR AS ts, "
+        "CASE WHEN event_id % 11 <> 0 THEN value END AS value FROM events",
+        **(C5_STEPS | akima_sql("calm")),
+    ),
+)
+def _(spark, folder):
+    """Meter files on a 12-hour clock with seconds and unreadable numbers: repaired hours, a folder per meter."""
+    path, out = scratch_path(spark, "meters"), scratch_path(spark, "repaired")
+    number = F.when(F.col("seq") % 11 != 0, F.col("value").cast("string")).otherwise("n. v.")
+    rows = p_ampm(spark, folder).select(
+        "series", "seq", F.date_format("ts", "dd.MM.yyyy HH:mm:ss").alias("Zeitstempel"), F.lit("x").alias("Bemerkung"), number.alias("momentane Leistung kW")
+    )
+    rows.repartitionByRange("seq").sortWithinPartitions("series", "seq").drop("seq").write.partitionBy("series").csv(path, header=True)
+    meter = F.regexp_extract("source_file", "series=([^/]+)/", 1)
+    meter_folder.fix_and_export(spark, path, out, ["Leistung kW"], meter)
+    return spark.read.parquet(out).select("source_file", "column", "ts", r("value").alias("value"))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import times
-from gridloom.operators.fill import akima
-from gridloom.operators.ordered import in_order, largest_group
-from gridloom.operators.resample import hourly_mean
+from gridloom.operators.fill import akima_rows
+from gridloom.operators.ordered import Ordered, group_sizes, in_order
+from gridloom.operators.resample import hourly_mean, on_even_rows
+from gridloom.session import slice_rows, stored
 
 SUNDAY = 7
 
@@ -64,7 +65,7 @@ def _one_per_stamp(df: DataFrame, by, end) -> DataFrame:
 
 
 def fix_half_days(
-    df: DataFrame, *, only_where_found: bool = False, at_most: int | None = None
+    df: DataFrame, *, only_where_found: bool = False, sizes: tuple[int, int] | None = None
 ) -> DataFrame:
     """Times written on a 12-hour clock without AM/PM, put right in order of ``seq``.
 
@@ -73,9 +74,10 @@ def fix_half_days(
     day keep their times.
     """
     half = F.col("ts") - F.expr("interval 12 hours")
-    clock = df.withColumn("_t", F.when(F.hour("ts") == 12, half).otherwise(F.col("ts")))
+    rows = in_order(df, ["series"], ["seq"], sizes=sizes)
+    clock = rows.over(rows.df.withColumn("_t", F.when(F.hour("ts") == 12, half).otherwise(F.col("ts"))))
     before = lambda w: {"_p": F.lag("_t").over(w), "_raw": F.lag("ts").over(w)}
-    steps = in_order(clock, ["series"], ["seq"], at_most=at_most).near(1, before)
+    steps = clock.near(1, before)
     new_day = F.col("_p").isNull() | (F.to_date("_t") != F.to_date("_p"))
     down = F.hour("_t") < F.hour("_p")
     shift = F.when(new_day, F.lit(0)).when(down, F.lit(12))
@@ -88,34 +90,42 @@ def fix_half_days(
     return filled.result().withColumn("ts", ts).select(*df.columns)
 
 
-def null_where_constant(df: DataFrame, at_most: int | None = None) -> DataFrame:
+def null_where_constant(df: DataFrame | Ordered) -> DataFrame:
     """Values equal to the one before become null."""
-    rows = in_order(df, ["series"], ["ts"], at_most=at_most)
+    return _moving(in_order(df, ["series"], ["ts"])).result()
+
+
+def _moving(rows: Ordered) -> Ordered:
     steps = rows.near(1, lambda w: {"_prev": F.lag("value").over(w)})
     value = F.when(F.col("value") == F.col("_prev"), None).otherwise(F.col("value"))
-    return steps.result().withColumn("value", value).drop("_prev")
+    return steps.over(steps.df.withColumn("value", value).drop("_prev"))
 
 
-def fill_where_constant(df: DataFrame, at_most: int | None = None) -> DataFrame:
-    """Frozen values replaced by Akima interpolation between the moving ones."""
-    top = largest_group(df, ["series"]) if at_most is None else at_most
-    return akima(null_where_constant(df, top), at_most=top)
+def fill_where_constant(df: DataFrame | Ordered) -> DataFrame:
+    """Frozen values replaced by Akima interpolation between the moving ones, in one order of the rows."""
+    return akima_rows(_moving(in_order(df, ["series"], ["ts"]))).result()
 
 
 def repair_half_day_meter(df: DataFrame) -> DataFrame:
     """A 12-hour meter export to clean hourly values.
 
-    Time repair only for series that show the pattern, first of doubled stamps, hourly mean, frozen
-    values interpolated.
+    Time repair only for series that show the pattern, first of doubled stamps, hourly mean on every hour
+    between the first and the last of a series, then frozen and missing values interpolated. Only the values
+    and the time are kept. A series without any time has no hours.
     """
-    top = largest_group(df, ["series"])  # no later step has more rows per series
-    fixed = first_of_duplicates(fix_half_days(df, only_where_found=True, at_most=top))
-    return fill_where_constant(hourly_mean(fixed), top)
+    total, top = group_sizes(df, ["series"])
+    fixed = first_of_duplicates(fix_half_days(df, only_where_found=True, sizes=(total, top)))
+    hours = hourly_mean(fixed.filter(F.col("ts").isNotNull())).select("series", "ts", "value")
+    if top > slice_rows(df.sparkSession):
+        hours = stored(hours, "hours")  # the grid below reads it twice
+    return fill_where_constant(on_even_rows(hours, 3600))
 
 
 def remove_outliers(df: DataFrame, above: float | None = None) -> DataFrame:
     """Values above the limit are deleted and the gaps interpolated; default limit: overall maximum."""
-    if above is None:
-        above = df.agg(F.max("value")).first()[0]
-    value = F.when(F.col("value") > F.lit(above), None).otherwise(F.col("value"))
-    return akima(df.withColumn("value", value))
+    groups = df.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    facts = groups.agg(F.sum("n").alias("total"), F.max("n").alias("n"), F.max("top").alias("top")).first()
+    limit = facts["top"] if above is None else above
+    rows = in_order(df, ["series"], ["ts"], sizes=(facts["total"] or 0, facts["n"] or 0))
+    value = F.when(F.col("value") > F.lit(limit), None).otherwise(F.col("value"))
+    return akima_rows(rows.over(rows.df.withColumn("value", value))).result()

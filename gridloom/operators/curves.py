@@ -14,13 +14,13 @@ LEAP_YEAR_HOURS = 8784
 def duration_curve(hourly: DataFrame, part: list[str] | None = None) -> DataFrame:
     """Each series by falling value with its own times, numbered from 0; equal values by time.
 
-    Values that repeat (nights at zero) may fill most of a series, so runs of one value are cut by
-    time as well.
+    Ranks are row numbers in ranges of (value, time), so values that repeat (nights at zero) are cut like
+    any others.
     """
     part = part or ["series"]
     kept = hourly.filter(texts.is_kept(F.col("series")) & F.col("value").isNotNull())
     falling = kept.withColumn("_key", -F.col("value"))
-    ranked = in_order(falling, part, ["_key", "ts"], tie="ts").number("rank").result()
+    ranked = in_order(falling, part, ["_key", "ts"]).number("rank").result()
     return ranked.select(*part, (F.col("rank") - 1).alias("rank"), "ts", "value")
 
 

@@ -9,15 +9,15 @@ from gridloom.functions.times import micros
 from gridloom.operators.ordered import Ordered, in_order
 
 
-def forward_fill(df: DataFrame, out: str = "value") -> DataFrame:
+def forward_fill(df: DataFrame | Ordered, out: str = "value") -> DataFrame:
     return _filled(df, out, forward=True)
 
 
-def backward_fill(df: DataFrame, out: str = "value") -> DataFrame:
+def backward_fill(df: DataFrame | Ordered, out: str = "value") -> DataFrame:
     return _filled(df, out, forward=False)
 
 
-def _filled(df: DataFrame, out: str, *, forward: bool) -> DataFrame:
+def _filled(df: DataFrame | Ordered, out: str, *, forward: bool) -> DataFrame:
     rows = in_order(df, ["series"], ["ts"]).fill("value", "_filled", forward=forward).result()
     return rows.withColumn(out, F.col("_filled")).drop("_filled")
 
@@ -34,41 +34,63 @@ def linear_by_row(rows: Ordered, source: str, out: str) -> Ordered:
     return both.over(both.df.withColumn(out, line).drop("_row", "_point", "_a", "_b"))
 
 
-def interpolate_linear(df: DataFrame) -> DataFrame:
+def interpolate_linear(df: DataFrame | Ordered) -> DataFrame:
     rows = linear_by_row(in_order(df, ["series"], ["ts"]), "value", "_line").result()
     return rows.withColumn("value", F.col("_line")).drop("_line")
 
 
 def akima(
-    df: DataFrame, part: list[str] | None = None, axis: str = "ts", at_most: int | None = None
+    df: DataFrame | Ordered, part: list[str] | None = None, axis: str = "ts", at_most: int | None = None
 ) -> DataFrame:
     """Fill null values by Akima's local cubic (J. ACM 17, 1970); null outside the known values.
 
-    Known values stay. Knots are the known values of each series; a time axis counts in seconds.
+    Known values stay. Knots are the known values of each series; a time axis counts in seconds. Two known
+    values at one time are refused with the name of the series.
     """
-    part = part or ["series"]
-    on_time = "timestamp" in dict(df.dtypes)[axis]
+    return akima_rows(in_order(df, part or ["series"], [axis], at_most=at_most)).result()
+
+
+def akima_rows(rows: Ordered) -> Ordered:
+    """The same for rows in order: three known points on both sides of each row decide its curve, so one window
+    finds all that a gap needs, however long it is."""
+    axis = rows.order[0]
+    on_time = "timestamp" in dict(rows.df.dtypes)[axis]
     x = micros(F.col(axis)) if on_time else F.col(axis).cast("double")
     unit = "1e6D" if on_time else "1D"
-    prepared = df.withColumns({"value": F.expr("if(isnan(value), null, value)"), "_x": x})
-    rows = in_order(prepared, part, [axis], at_most=at_most)
-    # A known value starts a piece up to the next one; behind the last value there is none.
-    piece = f"if(_x1 is null, null, struct({PIECE}))"
-    knots = _tangents(rows.over(rows.df.filter("value is not null")), unit)
-    started = knots.withColumn("_piece", F.expr(f"struct({piece} AS p)"))
-    started = started.select(*rows.df.columns, "_piece")
-    gaps = rows.df.filter("value is null").withColumn(
-        "_piece", F.lit(None).cast(started.schema["_piece"].dataType)
-    )
-    every = rows.over(started.unionByName(gaps)).fill("_piece", "_at").result()
-    curve = F.expr(CUBIC.format(h=f"((_at.p.x1 - _at.p.x0) / {unit})", d=f"((_x - _at.p.x0) / {unit})"))
-    return every.withColumn("value", F.coalesce("value", curve)).drop("_x", "_piece", "_at")
-
-
-PIECE = "_x AS x0, _x1 AS x1, value AS y0, _s AS s, _t0 AS t0, _t1 AS t1"
+    names = rows.df.columns
+    value = F.expr("if(isnan(value), null, value)")
+    point = F.when(value.isNotNull(), F.struct(x.alias("x"), value.alias("y")))
+    near = rows.over(rows.df.withColumns({"value": value, "_x": x, "_point": point})).known("_point", 3)
+    # Six points with five slopes around the piece a row lies in; a known row starts its own piece.
+    own, gap = F.col("_point"), F.col("_point").isNull()
+    before = [F.col(f"_before{k}") for k in (1, 2, 3)]
+    after = [F.col(f"_after{k}") for k in (1, 2, 3)]
+    left = F.when(gap, before[0]).otherwise(own)
+    points = [F.when(gap, before[2]).otherwise(before[1]), F.when(gap, before[1]).otherwise(before[0]), left, *after]
+    named = {f"_p{k}": p for k, p in enumerate(points)}
+    slopes = {
+        f"_s{k}": F.expr(f"(_p{k + 1}.y - _p{k}.y) / (nullif(_p{k + 1}.x - _p{k}.x, 0) / {unit})") for k in range(5)
+    }
+    series = F.concat_ws(", ", *[F.col(f"`{c}`").cast("string") for c in rows.part])
+    doubled = ~gap & (F.col("_before1.x") == F.col("_x"))
+    message = F.concat(F.lit("two values of series "), series, F.lit(" at "), F.col(f"`{axis}`").cast("string"), F.lit(": clean doubled times first"))
+    checked = near.df.withColumn("value", F.when(doubled, F.raise_error(message).cast("double")).otherwise(F.col("value")))
+    curves = checked.withColumns(named).drop(*[f"_{side}{k}" for side in ("before", "after") for k in (1, 2, 3)])
+    curves = curves.withColumns(slopes)
+    curves = curves.withColumns({
+        "_here": F.expr(SLOPES.format(a="_s0", b="_s1", c="_s2", d="_s3")),
+        "_there": F.expr(SLOPES.format(a="_s1", b="_s2", c="_s3", d="_s4")),
+    })
+    weight = F.when(~gap, F.expr("abs(_here.d - _here.c) + abs(_here.b - _here.a)"))
+    topped = near.over(curves).largest(weight, "_top")
+    start = topped.df.withColumns({"_t0": F.expr(TANGENT.format(m="_here")), "_t1": F.expr(TANGENT.format(m="_there"))})
+    curve = F.expr(CUBIC.format(h=f"((_p3.x - _p2.x) / {unit})", d=f"((_x - _p2.x) / {unit})"))
+    return topped.over(start.withColumn("value", F.coalesce("value", curve)).select(*names))
+
+
+# The cubic between two knots, from the slope between them and the tangents at both.
 CUBIC = (
-    "_at.p.y0 + {d} * (_at.p.t0 + {d} * ((3 * _at.p.s - 2 * _at.p.t0 - _at.p.t1) / {h}"
-    " + {d} * (_at.p.t0 + _at.p.t1 - 2 * _at.p.s) / ({h} * {h})))"
+    "_p2.y + {d} * (_t0 + {d} * ((3 * _s2 - 2 * _t0 - _t1) / {h} + {d} * (_t0 + _t1 - 2 * _s2) / ({h} * {h})))"
 )
 # Two slopes before and two after a knot, named from far before (a) to far behind (d). Missing ones
 # continue the line of the two next to them; with two knots in all there is only one slope.
@@ -82,37 +104,3 @@ TANGENT = (
     " (abs({m}.d - {m}.c) * {m}.b + abs({m}.b - {m}.a) * {m}.c)"
     " / nullif(abs({m}.d - {m}.c) + abs({m}.b - {m}.a), 0D), ({m}.d + {m}.a) / 2)"
 )
-
-
-def _tangents(knots: Ordered, unit: str) -> DataFrame:
-    """Per knot: next knot ``_x1``, slope to it ``_s``, and the tangents at both ends."""
-
-    def around(w):
-        cols = {}
-        for k in (1, 2, 3):
-            cols[f"_xp{k}"] = F.lead("_x", k).over(w)
-            cols[f"_yp{k}"] = F.lead("value", k).over(w)
-        for k in (1, 2):
-            cols[f"_xm{k}"] = F.lag("_x", k).over(w)
-            cols[f"_ym{k}"] = F.lag("value", k).over(w)
-        return cols
-
-    near = knots.near(3, around)
-    points = [("_xm2", "_ym2"), ("_xm1", "_ym1"), ("_x", "value")]
-    points += [("_xp1", "_yp1"), ("_xp2", "_yp2"), ("_xp3", "_yp3")]
-    slopes = [
-        f"({y1} - {y0}) / (({x1} - {x0}) / {unit}) AS {name}"
-        for name, (x0, y0), (x1, y1) in zip(["_l2", "_l1", "_s", "_r1", "_r2"], points, points[1:])
-    ]
-    own = [c for c in near.df.columns if c[:3] not in ("_xm", "_ym", "_yp", "_xp")]
-    frame = near.df.selectExpr(*own, "_xp1 AS _x1", *slopes)
-    frame = frame.selectExpr(
-        *own, "_x1", "_s",
-        SLOPES.format(a="_l2", b="_l1", c="_s", d="_r1") + " AS _here",
-        SLOPES.format(a="_l1", b="_s", c="_r1", d="_r2") + " AS _there",
-    )
-    weight = F.expr("abs(_here.d - _here.c) + abs(_here.b - _here.a)")
-    topped = near.over(frame).largest(weight, "_top").df
-    return topped.selectExpr(
-        *own, "_x1", "_s", TANGENT.format(m="_here") + " AS _t0", TANGENT.format(m="_there") + " AS _t1"
-    )

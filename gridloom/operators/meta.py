@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import obis, texts, units
-from gridloom.operators.joins import attach, lookup
+from gridloom.operators.joins import lookup
 from gridloom.operators.stats import step_minutes
+from gridloom.session import stored
 
 
 def series_meta(units_of: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def energy_and_power(df: DataFrame, meta: DataFrame) -> DataFrame:
     kinds = meta.select("series", "unit").join(steps, "series").select(
         "series", "unit", F.when(~suffixed & (F.col("td_interval") == "15min"), kind).alias("_kind")
     )
-    rows = attach(df, kinds, ["series"])
+    rows = lookup(df, stored(kinds, "kinds"), ["series"])
     return rows.withColumn("_pair", F.explode(_pair())).select(
         F.col("_pair.series").alias("series"), "ts", F.col("_pair.value").alias("value"),
         F.col("_pair.unit").alias("unit"),

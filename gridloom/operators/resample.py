@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import texts, times, units
-from gridloom.operators.fill import akima
-from gridloom.operators.joins import attach, lookup
+from gridloom.operators.fill import akima, akima_rows
+from gridloom.operators.joins import lookup
+from gridloom.operators.ordered import Ordered, on_time_slices
+from gridloom.session import stored
 
 # Nominal steps in seconds; a month counts as four weeks when steps are compared.
 STEP_SECONDS = {"15m": 900, "1h": 3600, "1d": 86400, "1mo": 2419200}
@@ -101,58 +105,70 @@ def on_grid(df: DataFrame, seconds: int, spans: DataFrame | None = None) -> Data
     return both.groupBy("series", "ts").agg(F.max("value").alias("value"))
 
 
-def upsample(df: DataFrame, units_of: DataFrame, step: str) -> DataFrame:
-    """Finer grid with Akima values; summed units are scaled by new step / mean old step."""
-    return _upsample(df, units_of, step, _facts(df, STEP_SECONDS[step])["top"])
+def on_even_rows(df: DataFrame, seconds: int, steps: DataFrame | None = None) -> Ordered:
+    """``on_grid`` in order of time, cut by spans of time where a series is too long for one task."""
+    if steps is None:
+        steps = stored(mean_step(df), "steps")
+    whole = (times.micros(F.col("last")) - times.micros(F.col("first"))) / (seconds * 1_000_000)
+    top = steps.agg(F.max(F.col("n") + F.ceil(whole) + 1)).first()[0] or 0
+    return on_time_slices(on_grid(df, seconds, steps.select("series", "first", "last")), ["series"], "ts", seconds, top)
 
 
-def _upsample(df: DataFrame, units_of: DataFrame, step: str, top: int | None) -> DataFrame:
-    if step == "1mo":
-        raise ValueError("a month has no fixed length: upsampling to months is not offered")
-    steps = mean_step(df)
-    scaled = _scaled(df, units_of, steps.select("series", "step"), STEP_SECONDS[step])
-    even = on_grid(scaled, STEP_SECONDS[step], steps.select("series", "first", "last"))
-    return akima(even, at_most=top)
+def moves(df: DataFrame, units_of: DataFrame, step: str) -> DataFrame:
+    """What a new step means for each series, as a small stored table: ``move`` is down, up or same.
 
+    A series goes down where its own mean step is finer than asked for and up otherwise; one with fewer than
+    two times has no step and stays the same. ``scale`` is what its values take on the way up.
+    """
+    seconds = F.lit(float(STEP_SECONDS[step]))
+    move = F.when(F.col("step").isNull(), "same").when(F.col("step") < seconds, "down").otherwise("up")
+    ruled = with_rule(mean_step(df), units_of, "mean_all").withColumn("move", move)
+    scale = F.when(F.col("mean") | F.col("step").isNull(), F.lit(1.0)).otherwise(seconds / F.nullif(F.col("step"), F.lit(0.0)))
+    return stored(ruled.withColumn("scale", scale), "moves")
 
-def _facts(df: DataFrame, seconds: int) -> Row:
-    """Finest and coarsest mean step, and the most rows a series can have on the grid (one row)."""
-    whole = (times.micros(F.col("last")) - times.micros(F.col("first"))) / (seconds * 1_000_000)
-    rows = F.max(F.col("n") + F.ceil(whole) + 1)
-    return mean_step(df).agg(F.min("step").alias("low"), F.max("step").alias("high"), rows.alias("top")).first()
 
+def upsample(df: DataFrame, units_of: DataFrame, step: str) -> DataFrame:
+    """Finer grid with Akima values; summed units are scaled by new step / mean old step."""
+    return _upsample(df, moves(df, units_of, step), step)
 
-def _scaled(df: DataFrame, units_of: DataFrame, steps: DataFrame, seconds: int) -> DataFrame:
-    factors = with_rule(steps, units_of, "mean_all").select(
-        "series",
-        F.when(F.col("mean"), F.lit(1.0)).otherwise(F.lit(float(seconds)) / F.col("step")).alias("_f"),
-    )
-    return attach(df, factors, ["series"]).withColumn("value", F.col("value") * F.col("_f")).drop("_f")
+
+def _upsample(df: DataFrame, steps: DataFrame, step: str) -> DataFrame:
+    if step == "1mo":
+        raise ValueError("a month has no fixed length: upsampling to months is not offered")
+    scaled = lookup(df.select("series", "ts", "value"), steps.select("series", "scale"), ["series"])
+    scaled = scaled.withColumn("value", F.col("value") * F.col("scale")).drop("scale")
+    return akima_rows(on_even_rows(scaled, STEP_SECONDS[step], steps)).result()
 
 
 def hourly_to_quarter(df: DataFrame, units_of: DataFrame) -> DataFrame:
     """Hourly to 15 minutes: a quarter of summed units; a missing unit counts as averaged."""
-    ruled = with_rule(df, units_of, "mean_all", missing=True)
+    steps = stored(mean_step(df), "steps")
+    share = with_rule(steps.select("series"), units_of, "mean_all", missing=True)
+    ruled = lookup(df.select("series", "ts", "value"), share, ["series"])
     value = F.when(F.col("mean"), F.col("value")).otherwise(F.col("value") / 4)
-    quarters = on_grid(ruled.withColumn("value", value).drop("mean"), 900)
-    return akima(quarters, at_most=_facts(df, 900)["top"])
+    return akima_rows(on_even_rows(ruled.withColumn("value", value).drop("mean"), 900, steps)).result()
 
 
 def change_resolution(df: DataFrame, units_of: DataFrame, step: str) -> DataFrame:
-    """Down where the mean step of a series is finer than asked for, up otherwise."""
-    seconds = STEP_SECONDS[step]
-    facts = _facts(df, seconds)
+    """Each series on its own: down where its mean step is finer than asked for, up otherwise; a series with
+    one time stays as it is."""
+    steps = moves(df, units_of, step)
+    facts = steps.agg(F.collect_set("move").alias("kinds"), F.min("step").alias("low")).first()
     if facts["low"] == 0:
         raise ValueError("time steps of zero: clean doubled times first")
-    if facts["high"] is None or facts["high"] < seconds:
-        return downsample(df, units_of, step)
-    if facts["low"] >= seconds:
-        return _upsample(df, units_of, step, facts["top"])
-    finer = F.coalesce(F.col("step") < seconds, F.lit(False))
-    marked = attach(df, mean_step(df).select("series", finer.alias("_down")), ["series"])
-    down = downsample(marked.filter("_down").drop("_down"), units_of, step)
-    up = _upsample(marked.filter("not _down").drop("_down"), units_of, step, facts["top"])
-    return down.unionByName(up.select("series", "ts", "value"))
+    rows = df.select("series", "ts", "value")
+    parts = []
+    for kind in ("down", "up", "same"):
+        if kind not in facts["kinds"]:
+            continue
+        chosen = steps.filter(F.col("move") == kind)
+        own = rows if len(facts["kinds"]) == 1 else lookup(rows, chosen.select("series"), ["series"], "left_semi")
+        if kind == "down":
+            own = downsample(own, units_of, step)
+        elif kind == "up":
+            own = _upsample(own, chosen, step)
+        parts.append(own.select("series", "ts", "value"))
+    return reduce(DataFrame.unionByName, parts) if parts else rows
 
 
 def curve_to_hours(df: DataFrame, last_hour: int = 8760) -> DataFrame:

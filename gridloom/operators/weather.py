@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import times, units
 from gridloom.operators import geo
 from gridloom.operators.fill import linear_by_row
-from gridloom.operators.joins import attach, lookup
-from gridloom.operators.ordered import in_order, largest_group
+from gridloom.operators.joins import attach, is_small, lookup
+from gridloom.operators.ordered import in_order
 from gridloom.operators.resample import change_resolution
-from gridloom.session import fixed_table
+from gridloom.session import fixed_table, stored
 
 # Resolutions of the weather service from fine to coarse, with German names.
 RESOLUTIONS = [
@@ -29,6 +29,11 @@ RESOLUTIONS = [
 # The resolution asked of the weather service for each resampling step.
 STEP_OF = {"minute_10": "15m", "hourly": "1h", "daily": "1d", "monthly": "1mo"}
 
+# Seconds between two values of each resolution with an even step.
+SECONDS_OF = {
+    "minute_1": 60, "minute_5": 300, "minute_10": 600, "hourly": 3600, "6_hour": 21600, "subdaily": 28800, "daily": 86400,
+}
+
 # Weather parameters and their German names.
 PARAMETER_NAMES = [
     ("cloud_cover_total", "Wolkendecke"),
@@ -166,6 +171,36 @@ def station_coverage(df: DataFrame, expected: int, share: float = COVERAGE) -> D
     return worst.filter(F.col("coverage") >= share)
 
 
+def expected_values(resolution: Column, first: Column, last: Column) -> Column:
+    """Values that a complete series of a resolution has from ``first`` to ``last``, both included."""
+    seconds = F.lit(None).cast("double")
+    for name, step in SECONDS_OF.items():
+        seconds = F.when(resolution == name, F.lit(float(step))).otherwise(seconds)
+    span = (times.micros(last) - times.micros(first)) / 1_000_000
+    months = (F.year(last) - F.year(first)) * 12 + F.month(last) - F.month(first) + 1
+    years = F.year(last) - F.year(first) + 1
+    return F.when(resolution == "monthly", months).when(resolution == "annual", years).otherwise(F.floor(span / seconds) + 1)
+
+
+def covering_stations(observed: DataFrame, spans: DataFrame, share: float = COVERAGE) -> DataFrame:
+    """Stations that have the share of the expected values, per ``spans(parameter, resolution, start, end)``.
+
+    Spans meet the observations by month, so a long table of observations is not crossed with them; counts are
+    made before the shuffle.
+    """
+    first, last = (F.trunc(F.col(c).cast("date"), "month") for c in ("start", "end"))
+    months = F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("_month")
+    wanted = spans.select("parameter", "resolution", "start", "end").filter("start <= end").distinct().select("*", months)
+    rows = observed.filter(F.col("value").isNotNull()).withColumn("_month", F.trunc(F.col("date").cast("date"), "month"))
+    met = rows.join(F.broadcast(wanted) if is_small(wanted) else wanted, ["parameter", "resolution", "_month"])
+    counts = met.filter(F.col("date").between(F.col("start"), F.col("end"))).groupBy(
+        "station_id", "parameter", "resolution", "start", "end"
+    ).agg(F.count(F.lit(1)).alias("n"))
+    expected = expected_values(F.col("resolution"), F.col("start"), F.col("end"))
+    covered = counts.withColumn("coverage", F.col("n") / expected)
+    return covered.filter(F.col("coverage") >= share).drop("n")
+
+
 def preference_order(options: DataFrame, wanted: str) -> DataFrame:
     """Options ``(resolution, place)``: the wanted one, then finer ones outwards, then coarser."""
     chosen = options.filter(F.col("resolution") == wanted).select("place").first()
@@ -227,6 +262,17 @@ def nearest_by_parameter(
     return geo.nearest_station(requests, sites, limit_km, by=["parameter"])
 
 
+def nearest_covering(
+    requests: DataFrame, stations: DataFrame, observed: DataFrame, share: float = COVERAGE,
+    limit_km: float = geo.STATION_LIMIT_KM,
+) -> DataFrame:
+    """Per ``(place, parameter, resolution, start, end)`` the nearest station that has the share of the values
+    of the span; nearer ones that are too sparse do not count."""
+    spans = requests.select("parameter", "resolution", "start", "end").distinct()
+    sites = covering_stations(observed, spans, share).drop("coverage").join(stations, "station_id")
+    return geo.nearest_station(requests, sites, limit_km, by=["parameter", "resolution", "start", "end"])
+
+
 def station_attributes(df: DataFrame, stations: DataFrame) -> DataFrame:
     """Attributes by station id, only where the id is unique in the station table."""
     rest = [c for c in stations.columns if c != "station_id"]
@@ -237,18 +283,20 @@ def station_attributes(df: DataFrame, stations: DataFrame) -> DataFrame:
     return lookup(df, unique, ["station_id"])
 
 
-def report(requests: DataFrame, used: DataFrame, nearest: DataFrame, wanted: str) -> DataFrame:
-    """Per request: used resolution, station, distance and status none / other resolution / ok."""
+def report(
+    requests: DataFrame, used: DataFrame, nearest: DataFrame, wanted: str, by: list[str] | None = None
+) -> DataFrame:
+    """Per request: used resolution, station, distance and status none / other resolution / ok. Requests are told
+    apart by place and parameter, and by the columns ``by``."""
+    key = ["place_id", "parameter", *(by or [])]
     joined = attach(requests, used, ["parameter"])
-    found = attach(
-        joined, nearest.select("place_id", "parameter", "station_id", "distance"), ["place_id", "parameter"]
-    )
+    found = attach(joined, nearest.select(*key, "station_id", "distance"), key)
     status = (
         F.when(F.col("station_id").isNull(), F.lit("none"))
         .when(F.col("resolution") != wanted, F.lit("other resolution"))
         .otherwise(F.lit("ok"))
     )
-    return found.select("place_id", "parameter", "resolution", "station_id", "distance", status.alias("status"))
+    return found.select(*key, "resolution", "station_id", "distance", status.alias("status"))
 
 
 def full_join_on_time(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -263,20 +311,18 @@ def with_temperature(df: DataFrame, weather: DataFrame) -> DataFrame:
     and taken at the profile times. Gaps that remain at the ends, and gaps in the profile values,
     take the value before and then the value after.
     """
-    axis = df.select("ts").distinct().withColumns(
+    rows = in_order(df, ["series"], ["ts"])
+    axis = rows.df.select("ts").distinct().withColumns(
         {"value": F.lit(None).cast("double"), "_profile": F.lit(True)}
     )
     seen = weather.select("ts", "value").withColumn("_profile", F.lit(False))
     merged = axis.unionByName(seen).groupBy("ts").agg(
         F.max("value").alias("value"), F.max("_profile").alias("_profile")
     )
-    rows = in_order(
-        merged.withColumn("_axis", F.lit(0)), ["_axis"], ["ts"], at_most=df.count() + weather.count()
-    )
-    line = linear_by_row(rows, "value", "_t")
+    merged = stored(merged.withColumn("_axis", F.lit(0)), "axis")
+    line = linear_by_row(in_order(merged, ["_axis"], ["ts"]), "value", "_t")
     known = line.result().filter("_profile").select("ts", F.col("_t").alias("temperature"))
-    joined = df.join(known, "ts", "left")
-    rows = in_order(joined, ["series"], ["ts"], at_most=largest_group(df, ["series"]))
+    rows = rows.over(rows.df.join(known, "ts", "left"))
     for name in ("value", "temperature"):
         rows = rows.fill(name, "_f").fill(name, "_b", forward=False)
         filled = F.coalesce(name, "_f", "_b")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import clean, curves, meta, resample
+from gridloom.session import fixed_table
 from gridloom.sources import sheet
 
 
@@ -20,14 +21,20 @@ class Profile:
 
 
 def import_sheet(spark: SparkSession, path: str) -> Profile:
-    """Cells, titles, units, types, clock changes, OBIS names, energy and power counterparts."""
-    cells = sheet.read_cells(spark, path)
-    named = sheet.titled(cells)
-    raw = sheet.long_profile(sheet.typed(sheet.rows_below(named)))
+    """Cells, titles, units, types, clock changes, OBIS names, energy and power counterparts.
+
+    Two scans: one for the label rows, one for the values.
+    """
+    labels = sheet.labels_of(spark, path)
+    raw = sheet.long_profile(sheet.typed(sheet.read_labelled(spark, path, labels)))
     tidy = clean.clean_switches(raw.filter(F.col("ts").isNotNull()))
-    renamed = meta.obis_names(meta.series_meta(sheet.unit_rows(named)))
+    units_of = fixed_table(spark, [(s, u) for s, u in labels.units.items()], "series, unit")
+    renamed = meta.obis_names(meta.series_meta(units_of))
     # One row per sheet column.
     names = renamed.select(F.col("old_series").alias("series"), F.col("series").alias("new"))
+    doubled = names.groupBy("new").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("series")).alias("titles")).filter("n > 1").first()
+    if doubled:
+        raise ValueError(f"the titles {doubled['titles']} all stand for {doubled['new']}")
     data = tidy.join(F.broadcast(names), "series").withColumn("series", F.col("new")).drop("new")
     paired = meta.energy_and_power(data, renamed)
     return Profile(paired, renamed)

@@ -35,6 +35,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once into the shared folder and read it back: its plan is not run again, executors may go."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fixed_table(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     """A small constant table as VALUES, known to the optimizer with its size."""
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 
 # Names of the result tables.
 SHEETS = ["Daten", "Stundenwerte", "Jahresdauerlinie", "Monatswerte"]
+# Columns with times and their format.
+DATE_COLUMNS = ["ts", "orgidx"]
+DATE_FORMAT = "DD.MM.YYYY hh:mm"
 
 
 def write_tables(tables: dict[str, DataFrame | None], path: str, fmt: str = "parquet") -> list[str]:
