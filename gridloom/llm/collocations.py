@@ -1,8 +1,8 @@
 """Phrase collocations from count streams, in the layout of external stream estimation.
 
 1. Words are counted per language; only those seen ``LEAST`` times can be part of a candidate.
-2. Every place where two such words meet in a piece gives one window of up to ``LONGEST`` words. Windows are
-   sorted; in that order all windows that begin with a phrase stand together, so one sweep with a stack
+2. Pairs of such words that stand together are counted. Every place of a frequent pair gives one window of up
+   to ``LONGEST`` words, as far as its pairs are frequent. Windows are sorted; in that order all windows that begin with a phrase stand together, so one sweep with a stack
    counts every phrase of every length. Phrases that run over a border of the sort are added up.
 3. The counts of all frequent phrases are laid out twice. In prefix order (by first word, second word ..) a
    phrase follows its beginnings, so a sweep hands down the counts of its first parts and hands up the
@@ -13,8 +13,9 @@
 Phrases are ordered by their bytes with 0 between words (0 and 1 inside words are escaped), so the order of
 keys is the order of word sequences. Borders come from a sample of the keys; a phrase whose extensions
 reach over borders goes to every range it touches, so no range needs more than its own rows and no first or
-last word gathers its phrases in one task. The windows of step 2 leave out rare words by a bit set of fixed
-size (``BITS``); a rare word that meets the bit of a frequent one only costs a few more windows.
+last word gathers its phrases in one task. The windows of step 2 leave out rare words and pairs by two bit sets
+of fixed size (``BITS``), filled from hashes; what is rare and meets the bit of something frequent only costs a
+few more windows. Counts of phrases never depend on hashes.
 
 Nothing is sampled but borders: counts cover all texts, phrases and languages. A null text is empty; a null
 language counts as ``und``; repeated rows count again. Extra columns do not pass.
@@ -31,12 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import partitions, small_batches, stored
+from gridloom.llm.common import mixed, partitions, small_batches, stored
 from gridloom.operators.joins import lookup
 
-LEAST, LONGEST, TOP = 100, 5, 2000
+LEAST, LONGEST, TOP, PARTS = 100, 5, 2000, 32
 UNKNOWN = "und"
-FLUSH_WORDS = 1 << 20
+CHUNK_WORDS, FLUSH_WORDS, FLUSH_DISTINCT = 1 << 18, 1 << 21, 1 << 20  # bound what a task holds
 BITS = 1 << 26  # of the set of frequent words: 8 MiB however many there are
 _PART = 1 << 19  # bits that one row of it holds
 BREAK = b"\xff"  # never part of UTF-8
@@ -53,26 +54,51 @@ def _words(text: bytes) -> list[bytes]:
     return data.replace(b"\n", b" \xff ").split()
 
 
+class _Block:
+    """Words of one language as numbers; number 0 stands for BREAK."""
+
+    def __init__(self) -> None:
+        self.words: dict[bytes, int] = {BREAK: 0}
+        self.ids: list[np.ndarray] = [np.zeros(1, np.int32)]
+        self.open: list[bytes] = []
+        self.size = 1
+
+    def add(self, words: list[bytes]) -> None:
+        self.open += words
+        self.open.append(BREAK)
+        self.size += len(words) + 1
+        if len(self.open) > CHUNK_WORDS:
+            self.number()
+
+    def number(self) -> None:
+        coded = pa.array(self.open, pa.binary()).dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        table = np.fromiter((self.words.setdefault(w, len(self.words)) for w in own), np.int32, len(own))
+        self.ids.append(table[coded.indices.to_numpy()])
+        self.open = []
+
+
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
-    """Blocks of about FLUSH_WORDS words: language, word numbers, words; number 0 stands for BREAK."""
-    open_words: dict[str, list[bytes]] = {}
+    """Blocks of some FLUSH_WORDS words: language, word numbers, words."""
+    blocks: dict[str, _Block] = {}
 
-    def block(lang: str) -> tuple[str, np.ndarray, list[bytes]]:
-        coded = pa.array(open_words.pop(lang), pa.binary()).dictionary_encode()
-        return lang, coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    def taken(lang: str) -> tuple[str, np.ndarray, list[bytes]]:
+        block = blocks.pop(lang)
+        if block.open:
+            block.number()
+        return lang, np.concatenate(block.ids), list(block.words)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             if text:
-                words = open_words.setdefault(lang, [BREAK])
-                words += _words(text)
-                words.append(BREAK)
-                if len(words) > FLUSH_WORDS:
-                    yield block(lang)
-        while sum(map(len, open_words.values())) > FLUSH_WORDS:
-            yield block(max(open_words, key=lambda k: len(open_words[k])))
-    for lang in list(open_words):
-        yield block(lang)
+                block = blocks.setdefault(lang, _Block())
+                block.add(_words(text))
+                if len(block.words) > FLUSH_DISTINCT:
+                    yield taken(lang)
+        while sum(b.size for b in blocks.values()) > FLUSH_WORDS:
+            yield taken(max(blocks, key=lambda k: blocks[k].size))
+    for lang in list(blocks):
+        yield taken(lang)
 
 
 def _rows(lang: str, words: list[bytes], n: np.ndarray) -> pa.RecordBatch:
@@ -88,21 +114,32 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(lang, [b"", *words[1:]], n)
 
 
-def _bit(lang: str, words: list[bytes]) -> np.ndarray:
+def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     seed = xxhash.xxh32_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) & (BITS - 1) for w in words), np.int64, len(words))
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lang, group in batch.to_pandas().groupby("lang"):
+            yield pa.record_batch([pa.array(_hashes(lang, group["key"].tolist()).view(np.int64))], ["h"])
+
+
+def _is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes & np.uint64(BITS - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _bit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of the bit set that this task's words set: at most BITS / _PART rows."""
+    """Parts of the bit set that this task's hashes set: at most BITS / _PART rows."""
     parts: dict[int, np.ndarray] = {}
     for batch in batches:
-        for lang, group in batch.to_pandas().groupby("lang"):
-            bits = _bit(lang, group["key"].tolist())
-            for part in np.unique(bits // _PART).tolist():
-                held = parts.setdefault(part, np.zeros(_PART // 8, np.uint8))
-                own = bits[bits // _PART == part] % _PART
-                np.bitwise_or.at(held, own >> 3, (1 << (own & 7)).astype(np.uint8))
+        bits = batch.column(0).to_numpy().view(np.uint64) & np.uint64(BITS - 1)
+        bits = np.sort(bits.astype(np.int64))
+        for own in np.split(bits, np.flatnonzero(np.diff(bits // _PART)) + 1):
+            if len(own):
+                held = parts.setdefault(int(own[0] // _PART), np.zeros(_PART // 8, np.uint8))
+                np.bitwise_or.at(held, own % _PART >> 3, (1 << (own & 7)).astype(np.uint8))
     if parts:
         yield pa.record_batch(
             [pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["part", "bits"]
@@ -121,10 +158,10 @@ def _joined_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _bit_set(words: DataFrame) -> np.ndarray:
-    """Bits of all frequent words; BITS / 8 bytes come to the driver, however many words there are."""
+def _bit_set(hashes: DataFrame) -> np.ndarray:
+    """Bits of all hashes ``h``; BITS / 8 bytes come to the driver, however many there are."""
     kind = "part long, bits binary"
-    parts = words.select("lang", "key").mapInArrow(_bit_rows, kind).repartition("part").mapInArrow(_joined_parts, kind)
+    parts = hashes.mapInArrow(_bit_rows, kind).repartition("part").mapInArrow(_joined_parts, kind)
     out = np.zeros(BITS // 8, np.uint8)
     for row in parts.toLocalIterator():
         at = row["part"] * _PART // 8
@@ -132,16 +169,40 @@ def _bit_set(words: DataFrame) -> np.ndarray:
     return out
 
 
-def _windows(frequent) -> Callable:
+def _pair_hashes(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[second])
+
+
+def _pair_counts(frequent) -> Callable:
+    """Hashes of neighbouring frequent words and how often a block of this task has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, ids, words in _encoded(batches):
+            hashes = _hashes(lang, words)
+            known = _is_set(frequent.value, hashes)
+            known[0] = False
+            beside = np.flatnonzero(known[ids[:-1]] & known[ids[1:]])
+            pairs, n = np.unique(ids[beside] * np.int64(len(words)) + ids[beside + 1], return_counts=True)
+            h = _pair_hashes(hashes, pairs // len(words), pairs % len(words))
+            for at in range(0, len(h), 500_000):
+                part = slice(at, at + 500_000)
+                yield pa.record_batch([pa.array(h[part].view(np.int64)), pa.array(n[part])], ["h", "n"])
+
+    return run
+
+
+def _windows(frequent, pairs) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = frequent.value
         for lang, ids, words in _encoded(batches):
-            at = _bit(lang, words)
-            known = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            hashes = _hashes(lang, words)
+            known = _is_set(frequent.value, hashes)
             known[0] = False
-            # distance to the next word that breaks a run, for every place
-            here = np.where(known[ids], np.int64(len(ids)), np.arange(len(ids)))
-            length = np.minimum(np.minimum.accumulate(here[::-1])[::-1] - np.arange(len(ids)), LONGEST)
+            beside = np.flatnonzero(known[ids[:-1]] & known[ids[1:]])
+            joined = np.zeros(len(ids), bool)  # is this word and the next one a frequent pair?
+            joined[beside[_is_set(pairs.value, _pair_hashes(hashes, ids[beside], ids[beside + 1]))]] = True
+            # words from every place to the end of its run of frequent pairs
+            here = np.where(joined, np.int64(len(ids)), np.arange(len(ids)))
+            length = np.minimum(np.minimum.accumulate(here[::-1])[::-1] - np.arange(len(ids)) + 1, LONGEST)
             place = np.flatnonzero(length >= 2)
             if not len(place):
                 continue
@@ -230,8 +291,10 @@ def counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFra
     words = texts.mapInArrow(_word_counts, kind).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     words = stored(words.where((F.col("n") >= least) | (F.octet_length("key") == 0)), "words")
     frequent = words.where(F.octet_length("key") > 0)
-    bits = spark.sparkContext.broadcast(_bit_set(frequent))
-    windows = stored(texts.mapInArrow(_windows(bits), kind), "windows")
+    bits = spark.sparkContext.broadcast(_bit_set(frequent.select("lang", "key").mapInArrow(_word_hashes, "h long")))
+    met = texts.mapInArrow(_pair_counts(bits), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    pairs = spark.sparkContext.broadcast(_bit_set(met.where(F.col("n") >= least).select("h")))
+    windows = stored(texts.mapInArrow(_windows(bits, pairs), kind), "windows")
     swept = windows.repartitionByRange(partitions(spark), "lang", "key").sortWithinPartitions("lang", "key").mapInArrow(_phrase_counts(least), kind)
     longer = swept.groupBy("lang", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return stored(frequent.unionByName(longer), "phrases"), words.where(F.octet_length("key") == 0).select("lang", "n")
@@ -348,6 +411,10 @@ def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
 def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """The best ``top`` phrases of every language."""
     found = scored(*counts(documents, least))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)  # each task sends on its best only
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # The best of each part of a language first, so that the last step sees PARTS * top rows at most.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    for group in ([F.col("lang"), part], [F.col("lang")]):
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= top)
+    ranked = found
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
