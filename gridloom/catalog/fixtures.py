@@ -85,12 +85,12 @@ def place(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def observation(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily values by supplier as station; every third station has none."""
-    return table(spark, folder, "lineitem").filter(F.col("l_suppkey") % 3 != 0).groupBy(
+    """Daily values by supplier as station; the values of every third station are missing."""
+    return table(spark, folder, "lineitem").groupBy(
         F.col("l_suppkey").alias("station_id"), F.col("l_returnflag").alias("parameter"),
         F.when(F.col("l_linestatus") == "O", "daily").otherwise("hourly").alias("resolution"),
         F.col("l_shipdate").alias("date"),
-    ).agg(F.avg("l_quantity").alias("value"))
+    ).agg(F.avg(F.when(F.col("l_suppkey") % 3 != 0, F.col("l_quantity"))).alias("value"))
 
 
 def weather_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +141,7 @@ SQL = {
     "c_nationkey::DOUBLE AS attr_colour FROM customer",
     "observation": "SELECT l_suppkey AS station_id, l_returnflag AS parameter, "
     "CASE WHEN l_linestatus = 'O' THEN 'daily' ELSE 'hourly' END AS resolution, l_shipdate AS date, "
-    "avg(l_quantity) AS value FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY 1, 2, 3, 4",
+    "avg(CASE WHEN l_suppkey % 3 <> 0 THEN l_quantity END) AS value FROM lineitem GROUP BY 1, 2, 3, 4",
     "weather_daily": "SELECT CASE l_returnflag WHEN 'A' THEN 'radiation_global' WHEN 'N' THEN "
     "'temperature_air_mean_2m' ELSE 'humidity' END AS series, l_shipdate AS ts, avg(l_quantity) * 0.7182818284::DOUBLE AS value "
     "FROM lineitem GROUP BY 1, 2",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog import query
 from gridloom.catalog.fixtures import (
-    event_units, order_units, p_events, p_orders, r, station, table, with_sql,
+    event_units, order_units, p_events, p_orders, r, station, table, weather_daily, weather_units, with_sql,
 )
 from gridloom.catalog.joins import NEAR, requests
 from gridloom.catalog.resampling import RANKED, RES, _in, _quantile
@@ -115,6 +115,25 @@ def _(spark, folder):
     return meta.copied(meta.series_meta(order_units(spark)), lines)
 
 
+@query(
+    "m5_weather_line",
+    with_sql(
+        "order_units weather_units",
+        "SELECT series, series || ' - orgidx' AS name_orgidx, series AS orig_tit, series AS tit, ' ' || unit AS unit, trim(' ' || unit, 'h') AS unit_h FROM order_units "
+        "WHERE series IN (SELECT o_orderpriority FROM orders) UNION ALL "
+        "SELECT DISTINCT n.de, n.de || ' - orgidx', n.de, n.de, ' ' || unit, trim(' ' || unit, 'h') FROM weather_units JOIN n ON n.en = series "
+        "WHERE series IN (SELECT CASE l_returnflag WHEN 'A' THEN 'radiation_global' WHEN 'N' THEN 'temperature_air_mean_2m' ELSE 'humidity' END FROM lineitem)",
+        n="SELECT * FROM (VALUES " + ", ".join(f"('{en}', '{de}')" for en, de in weather.PARAMETER_NAMES) + ") AS v(en, de)",
+    ),
+)
+def _(spark, folder):
+    """Metadata of a profile with the lines of the weather series that were added to it."""
+    own = p_orders(spark, folder).select("series").distinct().join(order_units(spark), "series")
+    added = weather_daily(spark, folder).select(F.col("series").alias("parameter")).distinct()
+    known = added.join(weather_units(spark).withColumnRenamed("series", "parameter"), "parameter")
+    return meta.with_weather_lines(meta.series_meta(own), weather.german_names(known))
+
+
 def _format(small: str) -> str:
     q = "'\"' || coalesce(unit, '') || '\"'"
     below = f"'{small}' || {q}" if small.endswith("000") else f"'{small}' || coalesce(unit, '')"
@@ -219,7 +238,7 @@ def _(spark, folder):
         "THEN 'other resolution' ELSE 'ok' END AS status FROM (SELECT place_id, unnest(['A', 'N', 'R', 'X']) AS parameter FROM place) p "
         "LEFT JOIN cl ON cl.parameter = p.parameter LEFT JOIN near ON near.place_id = p.place_id AND near.parameter = p.parameter",
         thin=THIN_OBSERVED, res=RES, cl=CLOSEST,
-        live="SELECT DISTINCT station.*, thin.parameter FROM station JOIN thin USING (station_id) JOIN cl ON cl.parameter = thin.parameter AND cl.resolution = thin.resolution",
+        live="SELECT DISTINCT station.*, thin.parameter FROM station JOIN thin USING (station_id) JOIN cl ON cl.parameter = thin.parameter AND cl.resolution = thin.resolution WHERE value IS NOT NULL",
         near=NEAR.format(more=", s.parameter", s="live", limit=60, by=", s.parameter"),
     ),
 )

@@ -147,7 +147,7 @@ COARSE = "SELECT series, row_number() OVER (PARTITION BY series ORDER BY value D
     with_sql(
         "p_orders", "SELECT series, hour, round(value, 4) AS value FROM akima",
         ranks=COARSE,
-        st="SELECT series, k * 100 AS hour, value FROM ranks WHERE k * 100 <= 8760",
+        st="SELECT series, k * 3 AS hour, value FROM ranks",
         gr="SELECT DISTINCT series, unnest(range(0, 8761)) AS hour FROM st",
         oj="SELECT g.series, g.hour, s.value FROM gr g LEFT JOIN st s USING (series, hour)",
         **akima_sql("oj", axis="hour::DOUBLE", scale="1.0", key="hour"),
@@ -157,7 +157,7 @@ def _(spark, folder):
     from gridloom.operators.curves import duration_curve
 
     curve = duration_curve(p_orders(spark, folder))
-    coarse = curve.select("series", (F.col("rank") * 100).alias("hour"), "value").filter("hour <= 8760")
+    coarse = curve.select("series", (F.col("rank") * 3).alias("hour"), "value")  # all ranks: a day stands for three hours
     return resample.curve_to_hours(coarse).select("series", "hour", r("value", 4).alias("value"))
 
 

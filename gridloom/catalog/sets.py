@@ -81,7 +81,7 @@ def _(spark, folder):
     return p_orders(spark, folder).groupBy("series").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
-LISTED = "SELECT s.*, round({km}, 6) AS distance FROM station s WHERE {km} <= {limit} AND s.station_id % {k} = 0"
+LISTED = "SELECT s.*, round({km}, 6) AS distance FROM station s WHERE {km} <= {limit}"
 
 
 @query(
@@ -89,15 +89,12 @@ LISTED = "SELECT s.*, round({km}, 6) AS distance FROM station s WHERE {km} <= {l
     with_sql(
         "station",
         "SELECT station_id, any_value(name) AS name, any_value(latitude) AS latitude, any_value(longitude) AS longitude, min(distance) AS distance "
-        f"FROM ({LISTED.format(km=HERE, limit=400, k=2)} UNION ALL {LISTED.format(km=HERE, limit=700, k=3)}) GROUP BY 1",
+        f"FROM ({LISTED.format(km=HERE, limit=400)} UNION ALL {LISTED.format(km=HERE, limit=700)}) GROUP BY 1",
     ),
 )
 def _(spark, folder):
     stations = station(spark, folder)
-    lists = [
-        weather.stations_by_distance(stations.filter(F.col("station_id") % k == 0), 53.0758196, 8.8071646, limit)
-        for k, limit in ((2, 400.0), (3, 700.0))
-    ]
+    lists = [weather.stations_by_distance(stations, 53.0758196, 8.8071646, limit) for limit in (400.0, 700.0)]
     return weather.all_stations(lists).withColumn("distance", r("distance"))
 
 

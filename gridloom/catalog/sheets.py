@@ -12,7 +12,6 @@ from gridloom.sources import sheet
 
 TITLES = ["click", "view", "purchase", "error", "signup 1-1:1.29.0"]
 UNITS = ["kWh", "kW", "°C", "m³", None]
-_WRITTEN: dict[tuple[str, str], str] = {}
 
 _QUARTERS = (
     "SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, "
@@ -45,25 +44,22 @@ def quarter_hours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sheet_path(spark: SparkSession, folder: str) -> str:
-    """Write the sheet once per session: three label rows, then the values in time order."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _WRITTEN:
-        columns = ["c0", "c1", "c2", "c3", "c4", "c5"]
-        labels = [
-            ["Lastgang", None, None, None, None, None],
-            [texts.UNIT_MARK, *UNITS],
-            [texts.INDEX_MARK, *TITLES],
-        ]
-        top = spark.createDataFrame(labels, ", ".join(f"{c} string" for c in columns)).coalesce(1)
-        wide = quarter_hours(spark, folder).orderBy("ts")
-        cells = wide.select(
-            times.format_time(F.col("ts")).alias("c0"),
-            *[F.col(e).cast("string").alias(f"c{i}") for i, e in enumerate(EVENTS, 1)],
-        )
-        path = scratch_path(spark, "sheet")
-        top.unionByName(cells).write.csv(path)
-        _WRITTEN[key] = path
-    return _WRITTEN[key]
+    """Write the sheet: three label rows, then the values in time order."""
+    columns = ["c0", "c1", "c2", "c3", "c4", "c5"]
+    labels = [
+        ["Lastgang", None, None, None, None, None],
+        [texts.UNIT_MARK, *UNITS],
+        [texts.INDEX_MARK, *TITLES],
+    ]
+    top = spark.createDataFrame(labels, ", ".join(f"{c} string" for c in columns)).coalesce(1)
+    wide = quarter_hours(spark, folder).orderBy("ts")
+    cells = wide.select(
+        times.format_time(F.col("ts")).alias("c0"),
+        *[F.col(e).cast("string").alias(f"c{i}") for i, e in enumerate(EVENTS, 1)],
+    )
+    path = scratch_path(spark, "sheet")
+    top.unionByName(cells).write.csv(path)
+    return path
 
 
 def sheet_cells(spark: SparkSession, folder: str) -> DataFrame:

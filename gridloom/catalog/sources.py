@@ -51,6 +51,38 @@ def _(spark, folder):
     return profile.data.withColumn("value", r("value", 4))
 
 
+E1_STEPS = {
+    "h": "SELECT replace(series, ' → Leistung', '') AS series, date_trunc('hour', ts) AS ts, avg(value) AS value, any_value(unit) AS unit FROM pairs "
+    "WHERE NOT contains(series, ' → Arbeit') GROUP BY 1, 2",
+    "mo": "SELECT series, date_trunc('month', ts) + INTERVAL 14 DAY AS ts, CASE WHEN any_value(trim(unit)) IN ('°C', 'm³') THEN avg(value) ELSE sum(value) END AS value FROM h GROUP BY 1, 2",
+    "moved": "SELECT 'raw' AS f, series, ts, value FROM pairs UNION ALL SELECT 'hourly', series, ts, value FROM h UNION ALL SELECT 'monthly', series, ts, value FROM mo",
+}
+
+
+@query(
+    "e1_profile",
+    with_sql(
+        "", "SELECT f AS frame, series, ts, round(value, 4) AS value, NULL::BIGINT AS rank, NULL::INTEGER AS year FROM moved "
+        "UNION ALL SELECT 'curve', series, ts, round(value, 4), row_number() OVER (PARTITION BY series ORDER BY value DESC, ts) - 1, NULL FROM h WHERE value IS NOT NULL "
+        "UNION ALL SELECT f || '_years', CASE WHEN contains(series, ' → ') THEN regexp_replace(series, '( → .*)', ' ' || year(ts) || '\\1') ELSE series || ' ' || year(ts) END, "
+        "make_timestamp(2020, month(ts), day(ts), hour(ts), minute(ts), second(ts)::DOUBLE), round(value, 4), NULL, year(ts)::INTEGER FROM moved",
+        **IMPORTED, **E1_STEPS,
+    ),
+)
+def _(spark, folder):
+    """All frames of the load-profile page from one sheet: raw, hourly, curve, monthly, and three of them by year."""
+    shown = None
+    for name, df in load_profile.page(load_profile.import_sheet(spark, sheet_path(spark, folder))).items():
+        title = F.col("name") if "name" in df.columns else F.col("series")
+        rank = F.col("rank") if "rank" in df.columns else F.lit(None)
+        year = F.col("year") if "year" in df.columns else F.lit(None)
+        part = df.select(
+            F.lit(name).alias("frame"), title.alias("series"), "ts", r("value", 4).alias("value"), rank.cast("long").alias("rank"), year.cast("int").alias("year")
+        )
+        shown = part if shown is None else shown.unionByName(part)
+    return shown
+
+
 PRIORITIES = [s for s, _ in ORDER_UNITS]
 
 

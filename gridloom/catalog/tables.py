@@ -143,10 +143,8 @@ def _(spark, folder):
 )
 def _(spark, folder):
     e = table(spark, folder, "events").select("event_id", "value")
-    above = curves.clipped(e, 20.0).withColumnRenamed("value", "above")
-    below = e.withColumn("value", F.lit(10.0) - F.col("value"))
-    low = curves.clipped(below, -20.0).withColumnRenamed("value", "below")
-    return above.join(low, "event_id")
+    above, below = curves.clip(F.col("value"), 20.0), curves.clip(F.lit(10.0) - F.col("value"), -20.0)
+    return e.select("event_id", above.alias("above"), below.alias("below"))
 
 
 @query(

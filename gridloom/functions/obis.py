@@ -11,31 +11,88 @@ from gridloom.session import fixed_table
 PATTERN = r"1-\d*:\d*\.\d*"
 MEDIUM = "Elektrizität"
 
-# Quantities 1 to 20 as (name in total, name per phase, unit, short name). The same
-# twenty follow for the phases L1 (21-40), L2 (41-60) and L3 (61-80).
+# Quantities by code as (code, name, unit, short name); 21 to 80 are those of the three phases.
 QUANTITIES = [
-    ("Wirkleistung (+)", "Wirkenergie {} (+)", "kWh", "Bezug"),
-    ("Wirkleistung (-)", "Wirkenergie {} (-)", "kWh", "Lieferung"),
-    ("Blindenergie (+)", "Blindenergie {} (+)", "kvarh", "Blinden. Bezug"),
-    ("Blindenergie (-)", "Blindenergie {} (-)", "kvarh", "Blinden. Lieferung"),
-    ("Blindenergie QI", "Blindenergie {} QI", "kvarh", "Blinden. QI"),
-    ("Blindenergie QII", "Blindenergie {} QII", "kvarh", "Blinden. QII"),
-    ("Blindenergie QIII", "Blindenergie {} QIII", "kvarh", "Blinden. QIII"),
-    ("Blindenergie QIV", "Blindenergie {} QIV", "kvarh", "Blinden. QIV"),
-    ("Scheinenergie (+)", "Scheinenergie {} (+)", "kVA", "Scheinen. Bezug"),
-    ("Scheinenergie (-)", "Scheinenergie {} (-)", "kVA", "Scheinen. Lieferung"),
-    ("Strom", "I {}", "A", "Strom"),
-    ("Spannung", "U PH-N {}", "V", "Spannung"),
-    ("Leistungsfaktor Durchschnitt", "Leistungsfaktor {}", "-", "P-Faktor"),
-    ("Frequenz", "Frequenz {}", "Hz", "Frequenz"),
-    ("Wirkenergie QI+QII+QIII+QIV", "Wirkenergie {} QI+QII+QIII+QIV", "kWh", "Wirken. QI+QII+QIII+QIV"),
-    ("Wirkenergie QI+QII+QIII+QIV", "Wirkenergie {} QI+QII+QIII+QIV", "kWh", "Wirken. QI+QII+QIII+QIV"),
-    ("Wirkenergie QI", "Wirkenergie {} QI", "kWh", "Wirken. QI"),
-    ("Wirkenergie QII", "Wirkenergie {} QII", "kWh", "Wirken. QII"),
-    ("Wirkenergie QIII", "Wirkenergie {} QIII", "kWh", "Wirken. QIII"),
-    ("Wirkenergie QIV", "Wirkenergie {} QIV", "kWh", "Wirken. QIV"),
-]
-OTHER_QUANTITIES = [
+    ("1", "Wirkleistung (+)", "kWh", "Bezug"),
+    ("2", "Wirkleistung (-)", "kWh", "Lieferung"),
+    ("3", "Blindenergie (+)", "kvarh", "Blinden. Bezug"),
+    ("4", "Blindenergie (-)", "kvarh", "Blinden. Lieferung"),
+    ("5", "Blindenergie QI", "kvarh", "Blinden. QI"),
+    ("6", "Blindenergie QII", "kvarh", "Blinden. QII"),
+    ("7", "Blindenergie QIII", "kvarh", "Blinden. QIII"),
+    ("8", "Blindenergie QIV", "kvarh", "Blinden. QIV"),
+    ("9", "Scheinenergie (+)", "kVA", "Scheinen. Bezug"),
+    ("10", "Scheinenergie (-)", "kVA", "Scheinen. Lieferung"),
+    ("11", "Strom", "A", "Strom"),
+    ("12", "Spannung", "V", "Spannung"),
+    ("13", "Leistungsfaktor Durchschnitt", "-", "P-Faktor"),
+    ("14", "Frequenz", "Hz", "Frequenz"),
+    ("15", "Wirkenergie QI+QII+QIII+QIV", "kWh", "Wirken. QI+QII+QIII+QIV"),
+    ("16", "Wirkenergie QI+QII+QIII+QIV", "kWh", "Wirken. QI+QII+QIII+QIV"),
+    ("17", "Wirkenergie QI", "kWh", "Wirken. QI"),
+    ("18", "Wirkenergie QII", "kWh", "Wirken. QII"),
+    ("19", "Wirkenergie QIII", "kWh", "Wirken. QIII"),
+    ("20", "Wirkenergie QIV", "kWh", "Wirken. QIV"),
+    ("21", "Wirkenergie L1 (+)", "kWh", "L1 Bezug"),
+    ("22", "Wirkenergie L1 (-)", "kWh", "L1 Lieferung"),
+    ("23", "Blindenergie L1 (+)", "kvarh", "L1 Blinden. Bezug"),
+    ("24", "Blindenergie L1 (-)", "kvarh", "L1 Blinden. Lieferung"),
+    ("25", "Blindenergie L1 QI", "kvarh", "L1 Blinden. QI"),
+    ("26", "Blindenergie L1 QII", "kvarh", "L1 Blinden. QII"),
+    ("27", "Blindenergie L1 QIII", "kvarh", "L1 Blinden. QIII"),
+    ("28", "Blindenergie L1 QIV", "kvarh", "L1 Blinden. QIV"),
+    ("29", "Scheinenergie L1 (+)", "kVA", "L1 Scheinen. Bezug"),
+    ("30", "Scheinenergie L1 (-)", "kVA", "L1 Scheinen. Lieferung"),
+    ("31", "I L1", "A", "L1 Strom"),
+    ("32", "U PH-N L1", "V", "L1 Spannung"),
+    ("33", "Leistungsfaktor L1", "-", "L1 P-Faktor"),
+    ("34", "Frequenz L1", "Hz", "L1 Frequenz"),
+    ("35", "Wirkenergie L1 QI+QII+QIII+QIV", "kWh", "L1 Wirken. QI+QII+QIII+QIV"),
+    ("36", "Wirkenergie L1 QI+QII+QIII+QIV", "kWh", "L1 Wirken. QI+QII+QIII+QIV"),
+    ("37", "Wirkenergie L1 QI", "kWh", "L1 Wirken. QI"),
+    ("38", "Wirkenergie L1 QII", "kWh", "L1 Wirken. QII"),
+    ("39", "Wirkenergie L1 QIII", "kWh", "L1 Wirken. QIII"),
+    ("40", "Wirkenergie L1 QIV", "kWh", "L1 Wirken. QIV"),
+    ("41", "Wirkenergie L2 (+)", "kWh", "L2 Bezug"),
+    ("42", "Wirkenergie L2 (-)", "kWh", "L2 Lieferung"),
+    ("43", "Blindenergie L2 (+)", "kvarh", "L2 Blinden. Bezug"),
+    ("44", "Blindenergie L2 (-)", "kvarh", "L2 Blinden. Lieferung"),
+    ("45", "Blindenergie L2 QI", "kvarh", "L2 Blinden. QI"),
+    ("46", "Blindenergie L2 QII", "kvarh", "L2 Blinden. QII"),
+    ("47", "Blindenergie L2 QIII", "kvarh", "L2 Blinden. QIII"),
+    ("48", "Blindenergie L2 QIV", "kvarh", "L2 Blinden. QIV"),
+    ("49", "Scheinenergie L2 (+)", "kVA", "L2 Scheinen. Bezug"),
+    ("50", "Scheinenergie L2 (-)", "kVA", "L2 Scheinen. Lieferung"),
+    ("51", "I L2", "A", "L2 Strom"),
+    ("52", "U PH-N L2", "V", "L2 Spannung"),
+    ("53", "Leistungsfaktor L2", "-", "L2 P-Faktor"),
+    ("54", "Frequenz L2", "Hz", "L2 Frequenz"),
+    ("55", "Wirkenergie L2 QI+QII+QIII+QIV", "kWh", "L2 Wirken. QI+QII+QIII+QIV"),
+    ("56", "Wirkenergie L2 QI+QII+QIII+QIV", "kWh", "L2 Wirken. QI+QII+QIII+QIV"),
+    ("57", "Wirkenergie L2 QI", "kWh", "L2 Wirken. QI"),
+    ("58", "Wirkenergie L2 QII", "kWh", "L2 Wirken. QII"),
+    ("59", "Wirkenergie L2 QIII", "kWh", "L2 Wirken. QIII"),
+    ("60", "Wirkenergie L2 QIV", "kWh", "L2 Wirken. QIV"),
+    ("61", "Wirkenergie L3 (+)", "kWh", "L3 Bezug"),
+    ("62", "Wirkenergie L3 (-)", "kWh", "L3 Lieferung"),
+    ("63", "Blindenergie L3 (+)", "kvarh", "L3 Blinden. Bezug"),
+    ("64", "Blindenergie L3 (-)", "kvarh", "L3 Blinden. Lieferung"),
+    ("65", "Blindenergie L3 QI", "kvarh", "L3 Blinden. QI"),
+    ("66", "Blindenergie L3 QII", "kvarh", "L3 Blinden. QII"),
+    ("67", "Blindenergie L3 QIII", "kvarh", "L3 Blinden. QIII"),
+    ("68", "Blindenergie L3 QIV", "kvarh", "L3 Blinden. QIV"),
+    ("69", "Scheinenergie L3 (+)", "kVA", "L3 Scheinen. Bezug"),
+    ("70", "Scheinenergie L3 (-)", "kVA", "L3 Scheinen. Lieferung"),
+    ("71", "I L3", "A", "L3 Strom"),
+    ("72", "U PH-N L3", "V", "L3 Spannung"),
+    ("73", "Leistungsfaktor L3", "-", "L3 P-Faktor"),
+    ("74", "Frequenz L3", "Hz", "L3 Frequenz"),
+    ("75", "Wirkenergie L3 QI+QII+QIII+QIV", "kWh", "L3 Wirken. QI+QII+QIII+QIV"),
+    ("76", "Wirkenergie L3 QI+QII+QIII+QIV", "kWh", "L3 Wirken. QI+QII+QIII+QIV"),
+    ("77", "Wirkenergie L3 QI", "kWh", "L3 Wirken. QI"),
+    ("78", "Wirkenergie L3 QII", "kWh", "L3 Wirken. QII"),
+    ("79", "Wirkenergie L3 QIII", "kWh", "L3 Wirken. QIII"),
+    ("80", "Wirkenergie L3 QIV", "kWh", "L3 Wirken. QIV"),
     ("81", "Phasenwinkel", "-", "Phasenwinkel"),
     ("82", "Einheitslose Mengen (z.B. Impulse)", "-", "Einheitslose Mengen"),
     ("91", "I Neutralleiter", "A", "N Strom"),
@@ -95,12 +152,7 @@ KINDS = [
 
 def quantity_rows() -> list[tuple[str, str, str, str]]:
     """(code, name, unit, short name) of all 84 quantities."""
-    rows = [(str(i), total, unit, short) for i, (total, _, unit, short) in enumerate(QUANTITIES, 1)]
-    for phase in (1, 2, 3):
-        for i, (_, per_phase, unit, short) in enumerate(QUANTITIES, 1):
-            name = f"L{phase}"
-            rows.append((str(20 * phase + i), per_phase.format(name), unit, f"{name} {short}"))
-    return rows + OTHER_QUANTITIES
+    return QUANTITIES
 
 
 def catalogue(spark: SparkSession) -> tuple[DataFrame, DataFrame]:

@@ -87,11 +87,14 @@ def _on_days(ts: Column, days: list[str]) -> Column:
     return hit
 
 
-def clipped(df: DataFrame, level: float) -> DataFrame:
-    """Values cut at a level: from above for a positive level, from below otherwise."""
+def clip(value: Column, level: float) -> Column:
+    """A value cut at a level: from above for a positive level, from below otherwise."""
     cut = F.least if level > 0 else F.greatest
-    value = F.when(F.col("value").isNotNull(), cut("value", F.lit(float(level))))
-    return df.withColumn("value", value)
+    return F.when(value.isNotNull(), cut(value, F.lit(float(level))))
+
+
+def clipped(df: DataFrame, level: float) -> DataFrame:
+    return df.withColumn("value", clip(F.col("value"), level))
 
 
 def drawable(df: DataFrame) -> DataFrame:

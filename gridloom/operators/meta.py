@@ -142,6 +142,12 @@ def copied(meta: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
+def with_weather_lines(meta: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Metadata with a row per added weather series ``(name_de, unit)``; a line that is there already stays."""
+    lines = series_meta(parameters.select(F.col("name_de").alias("series"), "unit"))
+    return meta.unionByName(lines.join(meta.select("series"), "series", "left_anti"), allowMissingColumns=True)
+
+
 def unit_of_series(meta: DataFrame) -> DataFrame:
     return meta.select("series", "unit")
 

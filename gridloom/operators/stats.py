@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import texts, times, units
+from gridloom.operators.joins import attach
 from gridloom.operators.ordered import in_order
+from gridloom.session import stored
+
+
+def value_counts(df: DataFrame, part: list[str]) -> DataFrame:
+    """Rows per group and value: copies collapse before the shuffle."""
+    return df.groupBy(*part, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def nearest_quantiles(df: DataFrame, shares: dict[str, float], part: list[str] | None = None) -> DataFrame:
@@ -15,11 +22,10 @@ def nearest_quantiles(df: DataFrame, shares: dict[str, float], part: list[str] |
     Equal values collapse to (value, count) before the shuffle; running counts give the ranks.
     """
     part = part or ["series"]
-    counts = (
-        df.filter(F.col("value").isNotNull())
-        .groupBy(*part, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return _quantiles(value_counts(df.filter(F.col("value").isNotNull()), part), shares, part)
+
+
+def _quantiles(counts: DataFrame, shares: dict[str, float], part: list[str]) -> DataFrame:
     running = in_order(counts, part, ["value"]).running(F.col("n"), "upto")
     ranked = running.largest(F.col("upto"), "total").df
     found = {}
@@ -34,15 +40,23 @@ def quantile_95(df: DataFrame) -> DataFrame:
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """Count, nulls, mean, deviation, extremes and quartiles per series."""
-    plain = df.groupBy("series").agg(
-        F.count("value").alias("count"),
-        F.count_if(F.col("value").isNull()).alias("null_count"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+    """Count, nulls, mean, deviation, extremes and quartiles per series, all from one table of value counts, for
+    which the rows are read once."""
+    counts = stored(value_counts(df, ["series"]), "counts")
+    known = counts.filter(F.col("value").isNotNull())
+    n, value = F.col("n"), F.col("value")
+    plain = counts.groupBy("series").agg(
+        F.coalesce(F.sum(F.when(value.isNotNull(), n)), F.lit(0)).alias("count"),
+        F.coalesce(F.sum(F.when(value.isNull(), n)), F.lit(0)).alias("null_count"),
+        (F.sum(value * n) / F.sum(F.when(value.isNotNull(), n))).alias("mean"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    quartiles = nearest_quantiles(df, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return plain.join(quartiles, "series", "left")
+    around = attach(known, plain.select("series", "mean", "count"), ["series"])
+    apart = F.sum(n * (value - F.col("mean")) * (value - F.col("mean"))) / F.nullif(F.max("count") - 1, F.lit(0))
+    spread = around.groupBy("series").agg(F.sqrt(apart).alias("std"))
+    quartiles = _quantiles(known, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["series"])
+    joined = plain.join(spread, "series", "left").join(quartiles, "series", "left")
+    return joined.select("series", "count", "null_count", "mean", "std", "min", "max", "q25", "q50", "q75")
 
 
 def extremes(df: DataFrame) -> DataFrame:

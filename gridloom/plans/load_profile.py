@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import clean, curves, meta, resample
-from gridloom.session import fixed_table
+from gridloom.functions import texts
+from gridloom.operators import clean, curves, meta, resample, weather
+from gridloom.session import fixed_table, stored
 from gridloom.sources import sheet
 
 
@@ -53,6 +54,26 @@ def monthly(profile: Profile) -> DataFrame:
     return resample.monthly_values(hourly(profile), units_of)
 
 
+def page(profile: Profile, temperature: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All frames of the load-profile page from one import.
+
+    ``raw``, ``hourly``, ``curve`` and ``monthly``; ``raw_years``, ``hourly_years`` and ``monthly_years`` are split by
+    year and moved to one leap year; ``temperature(ts, value)`` adds a weather column to ``raw``. Curve and
+    months start from the hours, which are made once and stored.
+    """
+    units_of = stored(profile.data.groupBy("series").agg(F.min("unit").alias("unit")), "units")
+    hours = stored(hourly(profile), "hours")
+    bare = units_of.select(texts.without_suffix(F.col("series")).alias("series"), "unit", F.col("series").contains(texts.ENERGY_SUFFIX).alias("_energy"))
+    months = resample.monthly_values(hours, bare.filter("NOT _energy").drop("_energy"))
+    raw = profile.data.select("series", "ts", "value")
+    frames = {"raw": raw, "hourly": hours, "curve": curves.duration_curve(hours), "monthly": months}
+    for name in ("raw", "hourly", "monthly"):
+        frames[f"{name}_years"] = curves.split_years(frames[name])
+    if temperature is not None:
+        frames["raw"] = weather.with_temperature(raw, temperature)
+    return frames
+
+
 def curve_of_events(events: DataFrame) -> DataFrame:
     """Hourly means of an event table and their duration curve, series by event type."""
     profile = events.select(F.col("event_type").alias("series"), "ts", "value")

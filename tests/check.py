@@ -38,9 +38,26 @@ def rows_of(columns: list[str], rows) -> tuple[list[str], list[tuple[str, ...]]]
     return [columns[i] for i in order], plain
 
 
+def kind(name: str) -> str:
+    """Kind of a column type of either engine."""
+    name = name.lower()
+    for found, starts in {
+        "whole": ("bigint", "int", "hugeint", "smallint", "tinyint", "ubigint", "uinteger", "long", "number"),
+        "decimal": ("decimal",), "float": ("double", "float", "real"), "text": ("string", "varchar", "str"),
+        "time": ("timestamp", "datetime"), "day": ("date",), "bool": ("bool",),
+    }.items():
+        if name.startswith(starts):
+            return found
+    return name
+
+
 def differences(df, con, sql: str) -> str | None:
     result = con.execute(sql)
     expected = rows_of([d[0] for d in result.description], result.fetchall())
+    kinds = {d[0]: kind(d[1].lower() if isinstance(d[1], str) else str(d[1])) for d in con.execute(f"DESCRIBE {sql}").fetchall()}
+    other = {n: (t, kinds[n]) for n, t in df.dtypes if n in kinds and kinds[n] not in (kind(t), '"null"')}
+    if other:
+        return f"types {other}"
     found = rows_of(df.columns, [tuple(row) for row in df.collect()])
     if expected[0] != found[0]:
         return f"columns {found[0]} expected {expected[0]}"
