@@ -30,7 +30,7 @@ from gridloom.llm.common import partitions, small_batches, stored, word_hashes
 BUCKETS = 1 << 20
 LEXICONS = 16
 #: Shares of documents: more frequent terms are left out; the other end is open.
-MOST_SHARE, LEAST_DOCS = 0.05, 1
+MOST_SHARE = 0.05
 _MIX = np.array([xxhash.xxh64_intdigest(f"lexicon {i}") | 1 for i in range(LEXICONS)], dtype=np.uint64)
 _SHIFT = np.uint64(29)
 
@@ -44,8 +44,8 @@ def terms(texts: list[str | None]) -> list[np.ndarray]:
     return [np.unique(words) for words in word_hashes(texts)]
 
 
-def bucket_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents per bucket, over all rows, and the number of rows."""
+def bucket_counts(docs: DataFrame) -> DataFrame:
+    """Documents per bucket, over all rows, stored; bucket -1 has the number of rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, rows = np.zeros(BUCKETS, np.int64), 0
@@ -56,20 +56,21 @@ def bucket_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(seen)
         yield pd.DataFrame({"bucket": np.append(used, -1), "n": np.append(seen[used], rows)})
 
-    found = (
-        docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-        .toPandas()
-    )
-    total = found.loc[found["bucket"] < 0, "n"].sum()
-    found = found[found["bucket"] >= 0]
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[found["bucket"]] = found["n"]
-    return counts, int(total)
+    counted = docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return stored(counted, "buckets")
 
 
-def band(counts: np.ndarray, total: int, most: float = MOST_SHARE, least: int = LEAST_DOCS) -> np.ndarray:
-    """Which buckets lie in the band; a term in one or two documents of a tiny table is never common."""
-    return (counts <= max(2, most * total)) & (counts >= least)
+def band(counts: DataFrame, most: float = MOST_SHARE) -> np.ndarray:
+    """Which buckets lie in the band; a term in one or two documents of a tiny table is never common.
+
+    Only the buckets above the band come to the driver: each holds a fixed share of the documents, so they are few
+    whatever the size of the table.
+    """
+    total = counts.where("bucket < 0").agg(F.sum("n")).first()[0] or 0
+    above = counts.where((F.col("bucket") >= 0) & (F.col("n") > max(2, most * total))).select("bucket").collect()
+    kept = np.ones(BUCKETS, bool)
+    kept[[r["bucket"] for r in above]] = False
+    return kept
 
 
 def fingerprint(hashes: np.ndarray, kept: np.ndarray, text: str) -> np.ndarray:
@@ -102,7 +103,7 @@ def edited(text: str, after: str) -> str:
 
 def fingerprints(docs: DataFrame, kept: np.ndarray | None = None) -> DataFrame:
     """Fingerprints of all texts: columns of ``docs`` plus ``fingerprint``."""
-    shared = docs.sparkSession.sparkContext.broadcast(band(*bucket_counts(docs)) if kept is None else kept)
+    shared = docs.sparkSession.sparkContext.broadcast(band(bucket_counts(docs)) if kept is None else kept)
 
     @F.pandas_udf("string")
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -126,7 +127,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(band(*bucket_counts(docs)))
+    shared = spark.sparkContext.broadcast(band(bucket_counts(docs)))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     schema = f"{SCHEMA}, part int, head string, tail string"
 
