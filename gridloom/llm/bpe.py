@@ -18,7 +18,10 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,8 @@ from gridloom.llm.common import Memo, small_batches
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _RARE = re.compile("[^\x00-ɏ]")
 _OTHER_SPACE = re.compile("[\x1c-\x1f]")  # str.split() would cut here too
-MEMO_CHUNKS = 600_000
+CHUNK_BYTES, WORD_BYTES = 80 << 20, 48 << 20  # what the memories of a worker may hold
+GROUP_CHARS, MOST_AT_ONCE, SYMBOLS = 1 << 21, 64, 512
 NO_RANK = 1 << 30
 
 
@@ -48,6 +52,11 @@ class Codec:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {(vocab[a], vocab[b]): i for i, (a, b) in enumerate(merges)}
         self.made = [vocab[a + b] for a, b in merges]
+        self.made_ids = np.array(self.made, dtype=np.int64)
+        pairs = np.array(list(self.rank), dtype=np.int64).reshape(-1, 2)
+        keys = pairs[:, 0] << 32 | pairs[:, 1]
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.rank.values()), dtype=np.int64)[order]
         self.inner = {c: vocab[c] for c in byte_symbols() if c in vocab}
         self.last = {c: vocab[c + self.suffix] for c in self.inner if c + self.suffix in vocab}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -56,12 +65,32 @@ class Codec:
             self.token[i] = t
         self.joined = self._pairs_inside(vocab)
         self.symbols = byte_symbols()
+        self._tables()
         splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.library = Tokenizer.from_file(path)
         self.words = regex.compile(splits[0])
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
-        self.memo = Memo(lambda chunk: array("I", self._chunk(chunk)).tobytes(), MEMO_CHUNKS)
+        self.added_ids = list(map(self._added, self.added))
+        self.memo = Memo(lambda chunk: b"".join(map(self.known_words.__getitem__, self._words(chunk))), CHUNK_BYTES)
+        self.known_words = Memo(self._word, WORD_BYTES)
+
+    def _tables(self) -> None:
+        """By code point of the symbols: what stands together in some token, first ids, ranks of first pairs. Symbols
+        that end a word are numbered from SYMBOLS on."""
+        self.complete = len(self.inner) == len(self.last) == 256 and len(self.pair_keys) > 0
+        self.joined_table = np.zeros((SYMBOLS, SYMBOLS), bool)
+        for pair in self.joined:
+            if len(pair) == 2 and max(map(ord, pair)) < SYMBOLS:
+                self.joined_table[ord(pair[0]), ord(pair[1])] = True
+        self.symbol_ids = np.full(2 * SYMBOLS, -1, np.int64)
+        for shift, ids in ((0, self.inner), (SYMBOLS, self.last)):
+            for symbol, i in ids.items():
+                self.symbol_ids[ord(symbol) + shift] = i
+        self.symbol_ranks = np.full((2 * SYMBOLS, 2 * SYMBOLS), NO_RANK, np.int64)
+        known = np.flatnonzero(self.symbol_ids >= 0)
+        if self.complete:
+            left, right = self.symbol_ids[known][:, None], self.symbol_ids[known][None, :]
+            self.symbol_ranks[np.ix_(known, known)] = self._rank(left, right)
 
     def _pairs_inside(self, vocab: dict[str, int]) -> set[str]:
         """All pairs of neighbouring symbols inside a token; any other pair is a certain cut."""
@@ -71,44 +100,79 @@ class Codec:
             pairs.update(map("".join, zip(body, body[1:])))
         return pairs
 
-    def _chunk(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        if _RARE.search(chunk):
-            pieces = self.library.pre_tokenizer.pre_tokenize_str(chunk)
-            return [i for piece, _ in pieces for i in self._word(piece)]
+    def _words(self, chunk: str) -> list[str]:
+        """Words of a chunk in byte symbols."""
+        if not chunk.isascii() and _RARE.search(chunk):
+            return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
         if chunk.isalpha():
             words = [chunk]
         elif chunk[-1] in ".," and chunk[:-1].isalpha():
             words = [chunk[:-1], chunk[-1]]
         else:
             words = self.words.findall(chunk)
-        for word in words:
-            ids += self._word(word if word.isascii() and word.isprintable() else "".join(self.symbols_of(word)))
-        return ids
-
-    def _word(self, text: str) -> list[int]:
-        """A word in byte symbols, cut at every certain cut."""
-        cuts = [i for i, pair in enumerate(map("".join, zip(text, text[1:])), 1) if pair not in self.joined]
-        if not cuts:
-            return self._fragment(text, True)
-        ids: list[int] = []
-        for start, end in zip([0, *cuts], cuts):
-            ids += self._fragment(text[start:end], False)
-        return ids + self._fragment(text[cuts[-1] :], True)
+        if chunk.isascii() and chunk.isprintable():
+            return words
+        return ["".join(self.symbols_of(w)) for w in words]
 
     def symbols_of(self, word: str) -> list[str]:
         return [self.symbols[b] for b in word.encode("utf-8")]
 
-    def _fragment(self, text: str, ends: bool) -> list[int]:
-        known = self.fragments.get((text, ends))
-        if known is None:
-            known = [self.inner[c] for c in text]
-            if ends:
-                known[-1] = self.last[text[-1]]
-            known = self.merge(known)
-            if len(self.fragments) < MEMO_CHUNKS and len(text) < 64:
-                self.fragments[text, ends] = known
-        return known
+    def _word(self, word: str) -> bytes:
+        """A word cut at every certain cut; its fragments are merged one by one."""
+        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in self.joined]
+        ids: list[int] = []
+        for start, end in zip([0, *cuts], [*cuts, len(word)]):
+            fragment = [self.inner[c] for c in word[start:end]]
+            if end == len(word):
+                fragment[-1] = self.last[word[-1]]
+            ids += self.merge(fragment)
+        return array("I", ids).tobytes()
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NO_RANK)
+
+    def _words_at_once(self, words: list[str]) -> dict[str, bytes]:
+        """Words of one length side by side: certain cuts are found in a table of symbol pairs, and words without
+        one, a single fragment each, lose a symbol each in every step of merging."""
+        by_length: dict[int, list[str]] = defaultdict(list)
+        for word in words:
+            by_length[len(word)].append(word)
+        out = {}
+        for length, group in by_length.items():
+            if length > MOST_AT_ONCE or not self.complete:
+                out.update((w, self._word(w)) for w in group)
+                continue
+            names = np.array(group, dtype=object)
+            codes = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32).reshape(-1, length).astype(np.int64)
+            cut = ~self.joined_table[codes[:, :-1], codes[:, 1:]].all(axis=1)
+            out.update((w, self._word(w)) for w in names[cut])
+            names, codes = names[~cut], codes[~cut]
+            codes[:, -1] += SYMBOLS
+            ids = self.symbol_ids[codes]
+            ranks = self.symbol_ranks[codes[:, :-1], codes[:, 1:]]
+            while len(names):
+                width = ids.shape[1] - 1
+                best = ranks.argmin(axis=1) if width else np.zeros(len(ids), np.int64)
+                rank = ranks[np.arange(len(ids)), best] if width else np.full(len(ids), NO_RANK)
+                ends = rank == NO_RANK
+                done = ids[ends].astype("<u4").tobytes()
+                step = 4 * ids.shape[1]
+                out.update((w, done[i * step : i * step + step]) for i, w in enumerate(names[ends]))
+                names, ids, ranks, best, rank = names[~ends], ids[~ends], ranks[~ends], best[~ends], rank[~ends]
+                if not len(names):
+                    break
+                place = np.arange(width)
+                ids = np.take_along_axis(ids, place + (place > best[:, None]), axis=1)
+                ids[np.arange(len(ids)), best] = self.made_ids[rank]
+                place = place[:-1]
+                ranks = np.take_along_axis(ranks, place + (place >= best[:, None]), axis=1)
+                for side in (best - 1, best):
+                    some = np.flatnonzero((side >= 0) & (side < width - 1))
+                    at = side[some]
+                    ranks[some, at] = self._rank(ids[some, at], ids[some, at + 1])
+        return out
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply merges in order of rank, leftmost first; a heap keeps long fragments at n log n."""
@@ -151,23 +215,65 @@ class Codec:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text as unsigned 32-bit integers."""
+        return np.frombuffer(b"".join(map(self._held, self._chunks(text))), dtype="<u4")
+
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The same for many texts, in order: each distinct chunk is met once for some ``GROUP_CHARS`` of text, and
+        what is not known yet is merged together."""
+        group, size = [], 0
+        for text in texts:
+            group.append(self._chunks(text))
+            size += len(text or "")
+            if size > GROUP_CHARS:
+                yield from self._encoded(group)
+                group, size = [], 0
+        yield from self._encoded(group)
+
+    def _encoded(self, group: list[list]) -> Iterator[np.ndarray]:
+        memo = self.memo
+        unknown = set().union(*group).difference(memo, self.added_ids)
+        parts = {c: self._words(c) for c in unknown}
+        new = self._words_at_once(list(set(chain.from_iterable(parts.values())).difference(self.known_words)))
+        for word, ids in new.items():
+            self.known_words.put(word, ids)
+        passing = []  # what the memory has no room for is in it while this group lasts
+        for chunk, words in parts.items():
+            ids = b"".join([new[w] if w in new else self.known_words[w] for w in words])
+            memo.put(chunk, ids)
+            if chunk not in memo:
+                passing.append(chunk)
+                memo[chunk] = ids
+        for ids in self.added_ids:
+            memo[ids] = ids
+        for chunks in group:
+            yield np.frombuffer(b"".join(map(memo.__getitem__, chunks)), dtype="<u4")
+        for chunk in passing:
+            del memo[chunk]
+
+    def _held(self, chunk: str | bytes) -> bytes:
+        return self.memo[chunk] if chunk.__class__ is str else chunk
+
+    def _chunks(self, text: str | None) -> list[str | bytes]:
+        """Runs between white space of the normalised text; ids of added tokens stand as bytes among them."""
         if not text:
-            return np.empty(0, dtype="<u4")
+            return []
         if self.special is None or not any(t in text for t in self.added):
-            return np.frombuffer(self._plain(text), dtype="<u4")
-        parts = []
+            return self._plain(text)
+        parts: list[str | bytes] = []
         for part in self.special.split(text):
-            parts.append(np.array([self.added[part]], "<u4").tobytes() if part in self.added else self._plain(part))
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+            parts += [self._added(part)] if part in self.added else self._plain(part)
+        return parts
+
+    def _added(self, token: str) -> bytes:
+        return np.array([self.added[token]], "<u4").tobytes()
 
-    def _plain(self, text: str) -> bytes:
+    def _plain(self, text: str) -> list[str]:
         if _RARE.search(text):  # classes and cases of rare letters differ between Unicode versions
-            return b"".join(map(self.memo.__getitem__, filter(None, self.library.normalizer.normalize_str(text).split(" "))))
+            return list(filter(None, self.library.normalizer.normalize_str(text).split(" ")))
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: case by character
         text = text.lower()
-        chunks = text.split() if not _OTHER_SPACE.search(text) else [c for c in _SPACE.split(text) if c]
-        return b"".join(map(self.memo.__getitem__, chunks))
+        return text.split() if not _OTHER_SPACE.search(text) else [c for c in _SPACE.split(text) if c]
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by one space, as for a vocabulary without decoder."""
@@ -197,7 +303,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = codec(path)
         for batch in batches:
-            ids = [code.encode(t) for t in batch["t"]]
+            ids = list(code.encode_many(batch["t"]))
             yield pd.DataFrame({"k": batch["k"], "ids": [i.astype("i4") for i in ids], "decoded": [code.decode(i) for i in ids]})
 
     small_batches(docs.sparkSession)
@@ -212,8 +318,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         code = codec(path)
         for batch in batches:
             rows = []
-            for t in batch["text"]:
-                ids = code.encode(t)
+            for ids in code.encode_many(batch["text"]):
                 rows.append((len(ids), _sha(" ".join(map(str, ids.tolist()))), _sha(code.decode(ids))))
             n, a, b = zip(*rows) if rows else ((), (), ())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})

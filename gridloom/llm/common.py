@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.session import scratch_path
 
 BATCH_ROWS = 500
-MEMO_KEYS = 500_000
+MEMO_BYTES, ENTRY_BYTES = 64 << 20, 256  # an entry of a short key and value, with its slot
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -47,36 +50,39 @@ def partitions(spark: SparkSession) -> int:
 
 
 class Memo(dict):
-    """Function with a memory that takes no more when full, so it is bounded and no result depends on it."""
+    """Function with a memory that takes no more when it holds ``most`` bytes, so it is bounded whatever comes, and
+    no result depends on it."""
 
-    def __init__(self, function, most: int = MEMO_KEYS):
+    def __init__(self, function, most: int = MEMO_BYTES):
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.room = function, most
 
     def __missing__(self, key):
         value = self.function(key)
-        if len(self) < self.most and len(key) < 64:
-            self[key] = value
+        self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        if self.room > 0 and len(key) < 64:
+            self[key] = value
+            self.room -= ENTRY_BYTES
+
 
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 _BASE, _UNDO = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_LETTER = np.random.RandomState(11).randint(1, 1 << 62, 256, dtype=np.uint64)
-_LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
-_IS_SPACE = np.zeros(256, dtype=bool)
-_IS_SPACE[[32, *range(9, 14)]] = True
+#: A-Z count as a-z, and all ASCII white space as one blank.
+_FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 _powers = {base: np.ones(1, dtype=np.uint64) for base in (_BASE, _UNDO)}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; short ones are kept, 16 MB for a base at most."""
     if len(_powers[base]) < n:
-        steps = np.full(1 << max(n - 1, 1).bit_length(), base, dtype=np.uint64)
+        steps = np.full(1 << max(n - 1, 1).bit_length() if n <= 2 * BLOCK_BYTES else n, base, dtype=np.uint64)
         steps[0] = 1
         made = np.cumprod(steps)
         if n > 2 * BLOCK_BYTES:
-            return made[:n]
+            return made
         _powers[base] = made
     return _powers[base][:n]
 
@@ -89,15 +95,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _hashed(parts: list[bytes]) -> list[np.ndarray]:
-    data = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8)
-    blank = _IS_SPACE[data]
-    sums = _LETTER[data]
-    sums *= _power(_BASE, len(data))
-    np.cumsum(sums, out=sums)
-    starts = np.flatnonzero(blank[:-1] & ~blank[1:])
-    ends = np.flatnonzero(~blank[:-1] & blank[1:])
-    h = mixed((sums[ends] - sums[starts]) * _power(_UNDO, len(data))[starts])
-    return np.split(h, np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))[:-1])
+    words = [part.translate(_FOLDED).split() for part in parts]
+    coded = pa.array(chain.from_iterable(words), pa.binary()).dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    return np.split(h[coded.indices.to_numpy()], np.cumsum([len(w) for w in words])[:-1])
 
 
 def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:

@@ -13,8 +13,9 @@ Null texts count as empty and give the end id alone. Repeated rows are packed ea
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,16 @@ SCHEMA = (
 
 def fill_counts(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """Lengths and how many of each, with the largest sum of at most ``capacity``."""
+    return _fill(sorted(counts), counts.__getitem__, capacity)
+
+
+def _fill(lengths: list[int], count: Callable[[int], int], capacity: int) -> dict[int, int]:
+    """The same for lengths in rising order; only those that are tried are counted."""
     full, mask = 1 << capacity, (1 << capacity + 1) - 1
     reach, trail = 1, []
-    for length in sorted((n for n in counts if n <= capacity), reverse=True):
-        left, step = min(counts[length], capacity // length), 1
+    for at in range(bisect_right(lengths, capacity) - 1, -1, -1):
+        length = lengths[at]
+        left, step = min(count(length), capacity // length), 1
         while left and not reach & full:
             step = min(step, left)
             trail.append((reach, length, step))
@@ -55,11 +62,12 @@ def fill_counts(counts: dict[int, int], capacity: int) -> dict[int, int]:
 
 
 class Packer:
-    """Rows of pieces; ``pool`` has the remainders by length."""
+    """Rows of pieces; ``pool`` has the remainders by length, ``lengths`` these lengths in rising order."""
 
     def __init__(self, base: int, window: int):
         self.sequence, self.window = base, window
         self.pool: dict[int, deque] = {}
+        self.lengths: list[int] = []
         self.size = 0
         self.rows: list[tuple] = []
 
@@ -79,7 +87,11 @@ class Packer:
             self.drain(POOL // 2)
 
     def _keep(self, piece: tuple) -> None:
-        self.pool.setdefault(len(piece[2]), deque()).append(piece)
+        length = len(piece[2])
+        if length not in self.pool:
+            self.pool[length] = deque()
+            insort(self.lengths, length)
+        self.pool[length].append(piece)
         self.size += 1
 
     def _take(self, length: int) -> tuple:
@@ -87,19 +99,19 @@ class Packer:
         piece = queue.popleft()
         if not queue:
             del self.pool[length]
+            del self.lengths[bisect_left(self.lengths, length)]
         self.size -= 1
         return piece
 
     def drain(self, until: int) -> None:
         while self.size > until:
-            longest = max(self.pool)
-            offset = self._place(self._take(longest), 0)
-            chosen = fill_counts({n: len(q) for n, q in self.pool.items()}, self.window - offset)
+            offset = self._place(self._take(self.lengths[-1]), 0)
+            chosen = _fill(self.lengths, lambda n: len(self.pool[n]), self.window - offset)
             for length, count in chosen.items():
                 for _ in range(count):
                     offset = self._place(self._take(length), offset)
             if offset < self.window and self.pool:
-                doc, start, ids, total = self._take(max(self.pool))
+                doc, start, ids, total = self._take(self.lengths[-1])
                 room = self.window - offset
                 self._place((doc, start, ids[:room], total), offset)
                 self._keep((doc, start + room, ids[room:], total))
@@ -114,8 +126,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
         packer = Packer(TaskContext.get().partitionId() * SEQUENCES_PER_TASK, window)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].astype(object), batch["text"]):
-                packer.add(None if pd.isna(doc) else int(doc), np.concatenate([code.encode(text), end]))
+            for doc, ids in zip(batch["doc_id"].astype(object), code.encode_many(batch["text"])):
+                packer.add(None if pd.isna(doc) else int(doc), np.concatenate([ids, end]))
             yield pd.DataFrame(packer.rows, columns=names).astype({"doc_id": "Int64"})
             packer.rows = []
         packer.drain(0)
