@@ -35,7 +35,7 @@ from gridloom.llm.common import Memo, small_batches
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _RARE = re.compile("[^\x00-ɏ]")
 _OTHER_SPACE = re.compile("[\x1c-\x1f]")  # str.split() would cut here too
-CHUNK_BYTES, WORD_BYTES = 80 << 20, 48 << 20  # what the memories of a worker may hold
+CHUNK_BYTES, WORD_BYTES = 64 << 20, 32 << 20  # what the memories of a worker may hold
 GROUP_CHARS, MOST_AT_ONCE, SYMBOLS = 1 << 21, 64, 512
 NO_RANK = 1 << 30
 

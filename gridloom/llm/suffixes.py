@@ -32,7 +32,7 @@ from gridloom.llm.common import _BASE, _UNDO, _power, mixed, partitions, small_b
 
 DEPTH, GRAM = 100, 40
 GRAMS = DEPTH - GRAM + 1
-PLACE_BITS = 22
+PLACE_BITS = 20
 HELD_PIECES = 1 << 20
 #: Pieces that go through one merge at most; a larger block of anchors is merged anchor by anchor.
 MERGE_BYTES = 1 << 24
