@@ -1,9 +1,9 @@
 """Phrase collocations from count streams, in the layout of external stream estimation.
 
 1. Words are counted per language; only those seen ``LEAST`` times can be part of a candidate.
-2. Pairs of such words that stand together are counted. Every place of a frequent pair gives one window of up
-   to ``LONGEST`` words, as far as its pairs are frequent. Windows are sorted; in that order all windows that begin with a phrase stand together, so one sweep with a stack
-   counts every phrase of every length. Phrases that run over a border of the sort are added up.
+2. Pairs of such words that stand together are counted. Every place where frequent pairs follow each other gives
+   one window of three to ``LONGEST`` words, as far as its pairs are frequent. Windows are sorted; in that order all windows that begin with a phrase stand together, so one sweep with a stack
+   counts every longer phrase. Phrases that run over a border of the sort are added up.
 3. The counts of all frequent phrases are laid out twice. In prefix order (by first word, second word ..) a
    phrase follows its beginnings, so a sweep hands down the counts of its first parts and hands up the
    largest count of an extension to the right. In suffix order (by last word, last but one ..) the same sweep
@@ -125,6 +125,18 @@ def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(_hashes(lang, group["key"].tolist()).view(np.int64))], ["h"])
 
 
+def _pair_hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lang, group in batch.to_pandas().groupby("lang"):
+            first, second = zip(*(key.split(b"\0") for key in group["key"]))
+            both = _mixed_pair(_hashes(lang, list(first)), _hashes(lang, list(second)))
+            yield pa.record_batch([pa.array(both.view(np.int64))], ["h"])
+
+
+def _mixed_pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
 def _is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = (hashes & np.uint64(BITS - 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
@@ -169,24 +181,18 @@ def _bit_set(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _pair_hashes(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[second])
-
-
 def _pair_counts(frequent) -> Callable:
-    """Hashes of neighbouring frequent words and how often a block of this task has them."""
+    """Neighbouring frequent words and how often a block of this task has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, words in _encoded(batches):
-            hashes = _hashes(lang, words)
-            known = _is_set(frequent.value, hashes)
+            known = _is_set(frequent.value, _hashes(lang, words))
             known[0] = False
             beside = np.flatnonzero(known[ids[:-1]] & known[ids[1:]])
             pairs, n = np.unique(ids[beside] * np.int64(len(words)) + ids[beside + 1], return_counts=True)
-            h = _pair_hashes(hashes, pairs // len(words), pairs % len(words))
-            for at in range(0, len(h), 500_000):
-                part = slice(at, at + 500_000)
-                yield pa.record_batch([pa.array(h[part].view(np.int64)), pa.array(n[part])], ["h", "n"])
+            for at in range(0, len(pairs), 200_000):
+                first, second = (x.tolist() for x in np.divmod(pairs[at : at + 200_000], len(words)))
+                yield _rows(lang, [words[i] + b"\0" + words[k] for i, k in zip(first, second)], n[at : at + 200_000])
 
     return run
 
@@ -199,11 +205,11 @@ def _windows(frequent, pairs) -> Callable:
             known[0] = False
             beside = np.flatnonzero(known[ids[:-1]] & known[ids[1:]])
             joined = np.zeros(len(ids), bool)  # is this word and the next one a frequent pair?
-            joined[beside[_is_set(pairs.value, _pair_hashes(hashes, ids[beside], ids[beside + 1]))]] = True
+            joined[beside[_is_set(pairs.value, _mixed_pair(hashes[ids[beside]], hashes[ids[beside + 1]]))]] = True
             # words from every place to the end of its run of frequent pairs
             here = np.where(joined, np.int64(len(ids)), np.arange(len(ids)))
             length = np.minimum(np.minimum.accumulate(here[::-1])[::-1] - np.arange(len(ids)) + 1, LONGEST)
-            place = np.flatnonzero(length >= 2)
+            place = np.flatnonzero(length > 2)
             if not len(place):
                 continue
             window = np.full((len(place), LONGEST), 0, np.int64)  # 0 is BREAK: nothing there
@@ -228,7 +234,7 @@ def _windows(frequent, pairs) -> Callable:
 
 
 def _phrase_counts(least: int) -> Callable:
-    """Windows sorted by (lang, key) -> phrases of two words or more that are frequent in this range, and those
+    """Windows sorted by (lang, key) -> phrases of three words or more that are frequent in this range, and those
     whose windows may go on in the ranges beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +245,7 @@ def _phrase_counts(least: int) -> Callable:
         def close(keep: int, edge: bool = False) -> None:
             while len(open_words) > keep:
                 n, size = counts[-1], len(open_words)
-                if size > 1 and (n >= least or edge or (first[0] == lang and first[1][:size] == open_words)):
+                if size > 2 and (n >= least or edge or (first[0] == lang and first[1][:size] == open_words)):
                     out[0].append(lang)
                     out[1].append(b"\0".join(open_words))
                     out[2].append(n)
@@ -292,12 +298,13 @@ def counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFra
     words = stored(words.where((F.col("n") >= least) | (F.octet_length("key") == 0)), "words")
     frequent = words.where(F.octet_length("key") > 0)
     bits = spark.sparkContext.broadcast(_bit_set(frequent.select("lang", "key").mapInArrow(_word_hashes, "h long")))
-    met = texts.mapInArrow(_pair_counts(bits), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    pairs = spark.sparkContext.broadcast(_bit_set(met.where(F.col("n") >= least).select("h")))
-    windows = stored(texts.mapInArrow(_windows(bits, pairs), kind), "windows")
+    pairs = texts.mapInArrow(_pair_counts(bits), kind).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    pairs = stored(pairs.where(F.col("n") >= least), "pairs")
+    pair_bits = spark.sparkContext.broadcast(_bit_set(pairs.select("lang", "key").mapInArrow(_pair_hash_rows, "h long")))
+    windows = stored(texts.mapInArrow(_windows(bits, pair_bits), kind), "windows")
     swept = windows.repartitionByRange(partitions(spark), "lang", "key").sortWithinPartitions("lang", "key").mapInArrow(_phrase_counts(least), kind)
     longer = swept.groupBy("lang", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return stored(frequent.unionByName(longer), "phrases"), words.where(F.octet_length("key") == 0).select("lang", "n")
+    return stored(frequent.unionByName(pairs).unionByName(longer), "phrases"), words.where(F.octet_length("key") == 0).select("lang", "n")
 
 
 def _ranges(rows: DataFrame) -> list[tuple[str, bytes]]:
