@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from gridloom.llm.common import Memo, small_batches
+from gridloom.llm.common import Memo, release, small_batches
 
 #: White space of the vocabulary's pattern. Fixed value.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -296,6 +296,12 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def forget() -> None:
+    """Let go of the vocabularies of this worker and hand freed memory back to the system."""
+    _codecs.clear()
+    release()
+
+
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, ids, decoded text. Works in place, without a shuffle."""
     kind = docs.schema[key].dataType.simpleString()

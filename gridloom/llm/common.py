@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from itertools import chain
 
@@ -68,6 +71,13 @@ class Memo(dict):
             self.room -= ENTRY_BYTES
 
 
+def release() -> None:
+    """Hand freed memory back to the system: Spark uses a Python worker again for the stages that follow."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than that of GNU
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 BLOCK_BYTES = 1 << 20
 _BASE, _UNDO = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 #: A-Z count as a-z, and all ASCII white space as one blank.

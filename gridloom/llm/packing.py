@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridloom.llm.bpe import codec
+from gridloom.llm.bpe import codec, forget
 from gridloom.llm.common import small_batches
 
 WINDOW = 2048
@@ -118,8 +118,12 @@ class Packer:
             self.sequence += 1
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: where it starts in its document, how long it is, its sequence and place there."""
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep: bool = True) -> DataFrame:
+    """One row per piece: where it starts in its document, how long it is, its sequence and place there.
+
+    ``keep`` tells whether a worker keeps the vocabulary for its next task. It does not where other stages use the
+    same workers and need their memory.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code, end = codec(path), np.array([end_id], "<u4")
@@ -132,6 +136,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
             packer.rows = []
         packer.drain(0)
         yield pd.DataFrame(packer.rows, columns=names).astype({"doc_id": "Int64"})
+        if not keep:
+            del code, packer
+            forget()
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
