@@ -29,7 +29,9 @@ def import_sheet(spark: SparkSession, path: str) -> Profile:
     labels = sheet.labels_of(spark, path)
     raw = sheet.long_profile(sheet.typed(sheet.read_labelled(spark, path, labels)))
     tidy = clean.clean_switches(raw.filter(F.col("ts").isNotNull()))
-    units_of = fixed_table(spark, [(s, u) for s, u in labels.units.items()], "series, unit")
+    if not labels.units:
+        raise ValueError(f"no series in {path}")
+    units_of = fixed_table(spark, list(labels.units.items()), "series, unit")
     renamed = meta.obis_names(meta.series_meta(units_of))
     # One row per sheet column.
     names = renamed.select(F.col("old_series").alias("series"), F.col("series").alias("new"))
