@@ -245,10 +245,12 @@ class Codec:
                 memo[chunk] = ids
         for ids in self.added_ids:
             memo[ids] = ids
-        for chunks in group:
-            yield np.frombuffer(b"".join(map(memo.__getitem__, chunks)), dtype="<u4")
-        for chunk in passing:
-            del memo[chunk]
+        try:
+            for chunks in group:
+                yield np.frombuffer(b"".join(map(memo.__getitem__, chunks)), dtype="<u4")
+        finally:  # also when the caller stops early
+            for chunk in passing:
+                del memo[chunk]
 
     def _held(self, chunk: str | bytes) -> bytes:
         return self.memo[chunk] if chunk.__class__ is str else chunk
