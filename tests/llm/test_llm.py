@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from gridloom.llm import bpe, bwt, fingerprints, html_text, jaccard, language, neighbours, packing, quality, sharding, suffixes
 from gridloom.llm.catalog import load
+from gridloom.llm.common import word_hashes
 from gridloom.llm.graph import components
 from gridloom.llm.hilbert import hilbert_index
 
@@ -332,3 +333,24 @@ def test_pipeline_stages_by_hand(spark):
 def test_every_operator_has_a_query():
     names = list(load()[0])
     assert [n.split("_")[0] for n in names] == [*(f"op{i}" for i in range(1, 14)), "pipeline"]
+
+
+def test_words_that_any_polynomial_hash_confuses(spark):
+    """The Thue-Morse word and its complement: equal under every polynomial modulo 2 ** 64 with an odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    one, two = (h.tolist() for h in word_hashes([word, other]))
+    assert one != two
+    df = spark.createDataFrame([(1, word, "en", "s", 1024, 0.5, 1), (2, other, "en", "s", 1024, 0.5, 1)], COLUMNS)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()) == [(1, 1), (2, 2)]
+
+
+def test_memories_are_bounded_and_change_nothing():
+    library = Tokenizer.from_file(PATH)
+    code = bpe.Codec(PATH)
+    listed = [t or "" for _, t in texts()] + ["x<|endoftext|>y", "", "한국어 é, \x1c"]
+    code.memo.room = code.known_words.room = 300
+    for _ in range(2):
+        for text, ids in zip(listed, code.encode_many(listed)):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(code.memo) <= 2 + len(code.added) and len(code.known_words) <= 2
