@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import times
 from gridloom.operators.fill import akima_rows
-from gridloom.operators.ordered import Ordered, group_sizes, in_order
+from gridloom.operators.ordered import Ordered, in_order
 from gridloom.operators.resample import hourly_mean, on_even_rows
-from gridloom.session import slice_rows, stored
+from gridloom.session import stored
 
 SUNDAY = 7
 
@@ -64,9 +64,7 @@ def _one_per_stamp(df: DataFrame, by, end) -> DataFrame:
     )
 
 
-def fix_half_days(
-    df: DataFrame, *, only_where_found: bool = False, sizes: tuple[int, int] | None = None
-) -> DataFrame:
+def fix_half_days(df: DataFrame, *, only_where_found: bool = False) -> DataFrame:
     """Times written on a 12-hour clock without AM/PM, put right in order of ``seq``.
 
     Hour 12 counts as 0; from the point where the hour goes down within a day, 12 hours are added
@@ -74,7 +72,7 @@ def fix_half_days(
     day keep their times.
     """
     half = F.col("ts") - F.expr("interval 12 hours")
-    rows = in_order(df, ["series"], ["seq"], sizes=sizes)
+    rows = in_order(df, ["series"], ["seq"])
     clock = rows.over(rows.df.withColumn("_t", F.when(F.hour("ts") == 12, half).otherwise(F.col("ts"))))
     before = lambda w: {"_p": F.lag("_t").over(w), "_raw": F.lag("ts").over(w)}
     steps = clock.near(1, before)
@@ -113,12 +111,10 @@ def repair_half_day_meter(df: DataFrame) -> DataFrame:
     between the first and the last of a series, then frozen and missing values interpolated. Only the values
     and the time are kept. A series without any time has no hours.
     """
-    total, top = group_sizes(df, ["series"])
-    fixed = first_of_duplicates(fix_half_days(df, only_where_found=True, sizes=(total, top)))
+    fixed = first_of_duplicates(fix_half_days(df, only_where_found=True))
     hours = hourly_mean(fixed.filter(F.col("ts").isNotNull())).select("series", "ts", "value")
-    if top > slice_rows(df.sparkSession):
-        hours = stored(hours, "hours")  # the grid below reads it twice
-    return fill_where_constant(on_even_rows(hours, 3600))
+    # Hours are few beside the readings, and the grid reads them twice.
+    return fill_where_constant(on_even_rows(stored(hours, "hours"), 3600))
 
 
 def remove_outliers(df: DataFrame, above: float | None = None) -> DataFrame:
