@@ -245,3 +245,20 @@ def test_temperature_between_weather_times(profile, spark):
     # Rows of the common axis: 0:30, 1:00, 1:30, 2:30, 3:00, 3:30. The ends are outside of the weather
     # and take the value of the next profile row.
     assert got == pytest.approx([50 / 3, 50 / 3, 70 / 3, 70 / 3])
+
+
+def test_large_lookup_stays_off_the_driver(spark, monkeypatch):
+    """Neither broadcast nor repeated for each salt; a frequent key is spread, null keys match nothing."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(joins, "FREQUENT_ROWS", 50)
+    monkeypatch.setattr(joins.is_small, "__defaults__", (10,))
+    left = spark.range(1000).select("id", F.when(F.col("id") % 10 == 9, None).when(F.col("id") % 3 > 0, F.col("id")).otherwise(-1).alias("k"))
+    right = spark.range(-1, 600).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))
+    for how in ("left", "inner", "left_semi"):
+        out = joins.lookup(left, right, ["k"], how)
+        want = left.join(right, "k", how)
+        assert out.columns == want.columns and sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))
+        final = out._jdf.queryExecution().executedPlan()
+        assert "SortMergeJoin [k" in final.toString()
+    frequent = spark.range(2000).select((F.col("id") % 2).alias("k"), "id")
+    assert joins.lookup(frequent, right, ["k"], "inner").where("twice = 2 * k").count() == 2000
