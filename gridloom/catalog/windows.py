@@ -81,7 +81,7 @@ def _(spark, folder):
     with_sql("p_gaps", "SELECT series, ts, round(value, 6) AS value FROM akima", **akima_sql("p_gaps")),
 )
 def _(spark, folder):
-    return fill.akima(p_gaps(spark, folder)).select("series", "ts", r("value").alias("value"))
+    return fill.akima(p_gaps(spark, folder), joint=True).select("series", "ts", r("value").alias("value"))
 
 
 def smooth_sql(source: str, window: int, degree: int) -> dict[str, str]:

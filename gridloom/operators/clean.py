@@ -100,8 +100,9 @@ def _moving(rows: Ordered) -> Ordered:
 
 
 def fill_where_constant(df: DataFrame | Ordered) -> DataFrame:
-    """Frozen values replaced by Akima interpolation between the moving ones, in one order of the rows."""
-    return akima_rows(_moving(in_order(df, ["series"], ["ts"]))).result()
+    """Frozen values replaced by Akima interpolation between the moving ones, in one order of the rows. Moving values
+    of one time make one knot, their mean."""
+    return akima_rows(_moving(in_order(df, ["series"], ["ts"], together=True)), joint=True).result()
 
 
 def repair_half_day_meter(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.times import micros
@@ -40,26 +40,34 @@ def interpolate_linear(df: DataFrame | Ordered) -> DataFrame:
 
 
 def akima(
-    df: DataFrame | Ordered, part: list[str] | None = None, axis: str = "ts", at_most: int | None = None
+    df: DataFrame | Ordered, part: list[str] | None = None, axis: str = "ts", at_most: int | None = None, *, joint: bool = False
 ) -> DataFrame:
     """Fill null values by Akima's local cubic (J. ACM 17, 1970); null outside the known values.
 
     Known values stay. Knots are the known values of each series; a time axis counts in seconds. Two known
-    values at one time are refused with the name of the series.
+    values at one time are refused with the name of the series, or with ``joint`` make one knot, their mean.
     """
-    return akima_rows(in_order(df, part or ["series"], [axis], at_most=at_most)).result()
+    return akima_rows(in_order(df, part or ["series"], [axis], at_most=at_most, together=joint), joint=joint).result()
 
 
-def akima_rows(rows: Ordered) -> Ordered:
+def akima_rows(rows: Ordered, *, joint: bool = False) -> Ordered:
     """The same for rows in order: three known points on both sides of each row decide its curve, so one window
-    finds all that a gap needs, however long it is."""
+    finds all that a gap needs, however long it is. With ``joint``, rows of one time must lie in one slice."""
     axis = rows.order[0]
     on_time = "timestamp" in dict(rows.df.dtypes)[axis]
     x = micros(F.col(axis)) if on_time else F.col(axis).cast("double")
     unit = "1e6D" if on_time else "1D"
     names = rows.df.columns
     value = F.expr("if(isnan(value), null, value)")
-    point = F.when(value.isNotNull(), F.struct(x.alias("x"), value.alias("y")))
+    known, height = value.isNotNull(), value
+    if joint:
+        # The first row of a time stands for all of it. Equal values keep their exact height.
+        peers = rows.inner.rangeBetween(Window.currentRow, Window.currentRow)
+        low, high = F.min(value).over(peers), F.max(value).over(peers)
+        height = F.when(low == high, low).otherwise(F.avg(value).over(peers))
+        before = F.lag(axis).over(rows.inner)
+        known = height.isNotNull() & ~F.coalesce(before == F.col(axis), F.lit(False))
+    point = F.when(known, F.struct(x.alias("x"), height.alias("y")))
     near = rows.over(rows.df.withColumns({"value": value, "_x": x, "_point": point})).known("_point", 3)
     # Six points with five slopes around the piece a row lies in; a known row starts its own piece.
     own, gap = F.col("_point"), F.col("_point").isNull()

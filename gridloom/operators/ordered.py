@@ -187,12 +187,13 @@ def in_order(
     *,
     at_most: int | None = None,
     sizes: tuple[int, int] | None = None,
+    together: bool = False,
 ) -> Ordered:
     """Order ``df`` by ``order`` within ``part`` and cut the groups that are too large for a task.
 
     Rows that are in this order already (``Ordered``) pass as they are. A caller that knows how large a group
     can be passes it in ``at_most`` and saves the count where that is below the limit; one that has counted
-    passes ``sizes``, all rows and those of the largest group.
+    passes ``sizes``, all rows and those of the largest group. With ``together``, rows with equal keys are not parted.
     """
     if isinstance(df, Ordered):
         if (df.part, df.order) != (part, order):
@@ -204,7 +205,8 @@ def in_order(
     total, top = sizes or group_sizes(df, part)
     if top <= limit:
         return Ordered(df, part, order)
-    hashed = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    tie = F.lit(0) if together else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    hashed = df.withColumn("_tie", tie)
     ranges = hashed.repartitionByRange(math.ceil(total / limit), *part, *order, "_tie")
     laid = stored(ranges.withColumn("_range", F.spark_partition_id()).drop("_tie"), "ordered")
     large = pinned(

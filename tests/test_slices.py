@@ -78,3 +78,16 @@ def test_runs_of_one_value_are_cut_by_time(spark, events):
     finally:
         spark.conf.unset(SLICE_ROWS_KEY)
     assert cut.slices == ["_slice"] and largest <= 40
+
+
+@pytest.mark.parametrize("limit", ["40", "2000000"])
+def test_frozen_values_of_doubled_times(spark, profile, limit):
+    """Two meters in one series: the frozen stretch is filled between the means of both."""
+    rows = [("a", f"2021-01-01 {h:02d}:00", v) for h in range(20) for v in ((7.0,) if 8 <= h < 12 else (2.0 * h, 2.0 * h + 1))]
+    spark.conf.set(SLICE_ROWS_KEY, limit)
+    try:
+        out = clean.fill_where_constant(profile(rows).drop("seq")).orderBy("ts", "value").collect()
+    finally:
+        spark.conf.unset(SLICE_ROWS_KEY)
+    assert len(out) == len(rows) and all(r["value"] is not None for r in out)
+    assert [r["value"] for r in out[:3]] == [0.0, 1.0, 2.0] and out[16]["value"] == 7.0 and 7.0 < out[18]["value"] < 24.5
