@@ -119,10 +119,11 @@ def repair_half_day_meter(df: DataFrame) -> DataFrame:
 
 
 def remove_outliers(df: DataFrame, above: float | None = None) -> DataFrame:
-    """Values above the limit are deleted and the gaps interpolated; default limit: overall maximum."""
+    """Values above the limit are deleted and the gaps interpolated; default limit: overall maximum. What is left of
+    one time makes one knot, its mean."""
     groups = df.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
     facts = groups.agg(F.sum("n").alias("total"), F.max("n").alias("n"), F.max("top").alias("top")).first()
     limit = facts["top"] if above is None else above
-    rows = in_order(df, ["series"], ["ts"], sizes=(facts["total"] or 0, facts["n"] or 0))
+    rows = in_order(df, ["series"], ["ts"], sizes=(facts["total"] or 0, facts["n"] or 0), together=True)
     value = F.when(F.col("value") > F.lit(limit), None).otherwise(F.col("value"))
-    return akima_rows(rows.over(rows.df.withColumn("value", value))).result()
+    return akima_rows(rows.over(rows.df.withColumn("value", value)), joint=True).result()

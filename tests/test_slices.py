@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from check import rows_of
 from pyspark.sql import functions as F
@@ -80,6 +81,52 @@ def test_runs_of_one_value_are_cut_by_time(spark, events):
     assert cut.slices == ["_slice"] and largest <= 40
 
 
+def _doubled(spark):
+    """A time every ten minutes; one value, three copies of it or three different ones at a time, in two series."""
+    rows = spark.range(240).select("id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("series"), F.explode(F.sequence(F.lit(0), F.when(F.col("id") % 7 < 4, 2).otherwise(0))).alias("copy"))
+    value = (F.col("id") * 37 % 41).cast("double") + F.when(F.col("id") % 7 == 3, F.col("copy").cast("double")).otherwise(0.0)
+    value = F.when(F.col("id") % 6 == 5, 50.0 + F.col("copy")).when(F.col("id") % 11 > 0, value)
+    ts = F.timestamp_seconds(F.col("id") * 600 + 1_700_000_000).cast("timestamp_ntz")
+    return rows.select("series", ts.alias("ts"), value.alias("value"), "id").cache()
+
+
+@pytest.mark.parametrize("limit", ["4", "50", "2000000"])
+def test_doubled_times_make_one_knot(spark, limit):
+    from scipy_free import akima_at
+
+    rows = _doubled(spark)
+    spark.conf.set(SLICE_ROWS_KEY, limit)
+    try:
+        out = clean.remove_outliers(rows, above=45.0).orderBy("series", "ts").collect()
+    finally:
+        spark.conf.unset(SLICE_ROWS_KEY)
+    kept, given = {}, {}
+    for r in rows.filter("series = 'a' AND value <= 45").collect():
+        kept.setdefault(r["id"], []).append(r["value"])
+    for r in out:
+        given.setdefault((r["series"], r["id"]), []).append(r["value"])
+    x = sorted(kept)
+    mean = {i: sum(kept[i]) / len(kept[i]) for i in x}
+    for (_, i), got in given.items():
+        if i in kept:
+            assert sorted(got) == sorted(kept[i])
+        elif x[0] < i < x[-1]:
+            assert got == pytest.approx([float(akima_at(np.array(x), np.array([mean[k] for k in x]), np.array([i]))[0])] * len(got), abs=1e-6)
+        else:
+            assert set(got) == {None}
+    assert len(out) == rows.count()
+
+
+@pytest.mark.parametrize("limit", ["40", "2000000"])
+def test_outliers_by_the_default_limit_leave_doubled_times(spark, limit):
+    rows = _doubled(spark).na.drop()
+    spark.conf.set(SLICE_ROWS_KEY, limit)
+    try:
+        assert sorted(map(repr, clean.remove_outliers(rows).select(*rows.columns).collect())) == sorted(map(repr, rows.collect()))
+    finally:
+        spark.conf.unset(SLICE_ROWS_KEY)
+
+
 @pytest.mark.parametrize("limit", ["40", "2000000"])
 def test_frozen_values_of_doubled_times(spark, profile, limit):
     """Two meters in one series: the frozen stretch is filled between the means of both."""
