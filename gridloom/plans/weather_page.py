@@ -13,14 +13,18 @@ from gridloom.operators.joins import is_small, lookup
 from gridloom.session import stored
 
 REQUEST = ["parameter", "start", "end"]
+PLACE = ["place_id", "start", "end"]
 
 
 @dataclass(frozen=True)
 class Weather:
-    """``values(place_id, start, end, ts, parameter, value)`` and ``report`` with a status per request."""
+    """``values(place_id, start, end, ts, parameter, value)`` and ``report`` with a status per request. The values in
+    two parts: ``keyed(place_id, start, end, series)`` and ``lines(series, parameter, ts, value)``."""
 
     values: DataFrame
     report: DataFrame
+    keyed: DataFrame
+    lines: DataFrame
 
 
 def collect(
@@ -50,9 +54,23 @@ def collect(
     watts = known.withColumn("value", units.power_density(F.col("value"), F.col("unit"))).drop("unit")
     keyed = near.select("place_id", "station_id", "resolution", *REQUEST).join(series, ["station_id", "resolution", *REQUEST])
     values = keyed.join(watts, "series").select("place_id", "start", "end", "ts", "parameter", "value")
-    return Weather(values, weather.report(requests.select("place_id", *REQUEST), used, near, wanted, ["start", "end"]))
+    lined = lookup(watts, series.select("series", "parameter"), ["series"], "inner").select("series", "parameter", "ts", "value")
+    told = weather.report(requests.select("place_id", *REQUEST), used, near, wanted, ["start", "end"])
+    return Weather(values, told, keyed.select(*PLACE, "series"), lined)
 
 
 def wide(found: Weather, parameters: list[str]) -> DataFrame:
-    """One row per place, span and time with a column per parameter; what a parameter lacks is null."""
-    return found.values.groupBy("place_id", "start", "end", "ts").pivot("parameter", parameters).agg(F.first("value"))
+    """One row per place, span and time with a column per parameter; what a parameter lacks is null.
+
+    Places with the same series share one table, which is made once; places then only look it up, so no task holds
+    their rows. The rows of a table are dealt by time, so that neither their sum nor one table lands in one task.
+    """
+    spark = found.keyed.sparkSession
+    sets = stored(found.keyed.groupBy(*PLACE).agg(F.array_sort(F.collect_set("series")).alias("_set")), "sets")
+    tables = stored(sets.select("_set").distinct().withColumn("_table", F.monotonically_increasing_id()), "tables")
+    lines = tables.select("_table", F.explode("_set").alias("series")).join(found.lines, "series").drop("series")
+    even = lines.repartition("_table", "ts").groupBy("_table", "ts").pivot("parameter", parameters).agg(F.first("value"))
+    rows = stored(even, "wide")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = sets.join(tables, "_set").drop("_set").repartition(tasks, *PLACE)
+    return lookup(placed, rows, ["_table"], "inner").select(*PLACE, "ts", *[F.col(f"`{p}`") for p in parameters])

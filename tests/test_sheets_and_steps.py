@@ -120,6 +120,22 @@ def test_weather_of_many_requests(spark):
     assert hourly.report.filter("status = 'other resolution'").count() == 1 and hourly.values.count() == 29 * 24 + 1
 
 
+def test_places_share_the_table_of_their_series(spark):
+    """What is summed are the rows of the series, not those of the places; places only look them up."""
+    stations = spark.createDataFrame(STATIONS, "station_id int, latitude double, longitude double")
+    both = observed(spark).unionByName(observed(spark).withColumn("parameter", F.lit("u")).withColumn("value", F.col("value") * 2).filter("day(date) <> 20"))
+    one = wishes(spark).filter("place_id = 7")
+    places = one.unionByName(one.withColumn("parameter", F.lit("u"))).select(F.explode(F.array(*[F.lit(i) for i in range(40)])).alias("n"), "*").withColumn("place_id", F.when(F.col("n") < 39, F.col("n"))).drop("n")
+    places = places.filter("place_id IS NULL OR place_id % 3 > 0 OR parameter = 't'")
+    unit = spark.createDataFrame([("t", "°C"), ("u", "°C")], "parameter string, unit string")
+    found = weather_page.collect(places, stations, both, unit, "daily")
+    out = weather_page.wide(found, ["t", "u"])
+    want = found.values.groupBy("place_id", "start", "end", "ts").pivot("parameter", ["t", "u"]).agg(F.first("value"))
+    assert out.columns == want.columns and sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))
+    assert out.count() == 40 * 30
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_meters_of_a_folder(spark, tmp_path):
     def clock(h):
         return f"01.02.2021 {(h - 1) % 12 + 1:02d}:00:05"
