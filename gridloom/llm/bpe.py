@@ -12,6 +12,7 @@ repeated results, other columns are kept or dropped by the caller.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -36,6 +37,8 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _RARE = re.compile("[^\x00-ɏ]")
 _OTHER_SPACE = re.compile("[\x1c-\x1f]")  # str.split() would cut here too
 CHUNK_BYTES, WORD_BYTES = 64 << 20, 32 << 20  # what the memories of a worker may hold
+FRAGMENT_BYTES = 8 << 20
+ALONE = 4  # times as much where no other stage needs the worker's memory
 GROUP_CHARS, MOST_AT_ONCE, SYMBOLS = 1 << 21, 64, 512
 NO_RANK = 1 << 30
 
@@ -43,7 +46,7 @@ NO_RANK = 1 << 30
 class Codec:
     """One vocabulary file, loaded once for each Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, times: int = 1):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -70,9 +73,9 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.words = regex.compile(splits[0])
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.added_ids = list(map(self._added, self.added))
-        self.memo = Memo(lambda chunk: b"".join(map(self.known_words.__getitem__, self._words(chunk))), CHUNK_BYTES)
-        self.known_words = Memo(self._word, WORD_BYTES)
+        self.memo = Memo(lambda chunk: b"".join(map(self.known_words.__getitem__, self._words(chunk))), times * CHUNK_BYTES)
+        self.known_words = Memo(self._word, times * WORD_BYTES)
+        self.fragments = Memo(lambda fragment: self.merge([self.inner[c] for c in fragment]), FRAGMENT_BYTES)
 
     def _tables(self) -> None:
         """By code point of the symbols: what stands together in some token, first ids, ranks of first pairs. Symbols
@@ -121,11 +124,10 @@ class Codec:
         """A word cut at every certain cut; its fragments are merged one by one."""
         cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in self.joined]
         ids: list[int] = []
-        for start, end in zip([0, *cuts], [*cuts, len(word)]):
-            fragment = [self.inner[c] for c in word[start:end]]
-            if end == len(word):
-                fragment[-1] = self.last[word[-1]]
-            ids += self.merge(fragment)
+        for start, end in zip([0, *cuts], cuts):
+            ids += self.fragments[word[start:end]]
+        last = word[cuts[-1] if cuts else 0 :]
+        ids += self.merge([*[self.inner[c] for c in last[:-1]], self.last[last[-1]]])
         return array("I", ids).tobytes()
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -230,27 +232,28 @@ class Codec:
         yield from self._encoded(group)
 
     def _encoded(self, group: list[list]) -> Iterator[np.ndarray]:
-        memo = self.memo
-        unknown = set().union(*group).difference(memo, self.added_ids)
-        parts = {c: self._words(c) for c in unknown}
-        new = self._words_at_once(list(set(chain.from_iterable(parts.values())).difference(self.known_words)))
+        memo, held, parts, whole = self.memo, {}, {}, []  # ``held`` is for this group alone, and small
+        for chunk in set().union(*group):
+            ids = memo.get(chunk) if chunk.__class__ is str else chunk
+            if ids is not None:
+                held[chunk] = ids
+            elif chunk.isascii() and chunk.isalpha():
+                whole.append(chunk)
+            else:
+                parts[chunk] = self._words(chunk)
+        words = set(chain(whole, chain.from_iterable(parts.values())))
+        known = {w: ids for w in words if (ids := self.known_words.get(w)) is not None}
+        new = self._words_at_once([w for w in words if w not in known])
         for word, ids in new.items():
             self.known_words.put(word, ids)
-        passing = []  # what the memory has no room for is in it while this group lasts
-        for chunk, words in parts.items():
-            ids = b"".join([new[w] if w in new else self.known_words[w] for w in words])
+        known |= new
+        made = {chunk: known[chunk] for chunk in whole}
+        made.update((chunk, b"".join([known[w] for w in line])) for chunk, line in parts.items())
+        for chunk, ids in made.items():
             memo.put(chunk, ids)
-            if chunk not in memo:
-                passing.append(chunk)
-                memo[chunk] = ids
-        for ids in self.added_ids:
-            memo[ids] = ids
-        try:
-            for chunks in group:
-                yield np.frombuffer(b"".join(map(memo.__getitem__, chunks)), dtype="<u4")
-        finally:  # also when the caller stops early
-            for chunk in passing:
-                del memo[chunk]
+        held |= made
+        for chunks in group:
+            yield np.frombuffer(b"".join(map(held.__getitem__, chunks)), dtype="<u4")
 
     def _held(self, chunk: str | bytes) -> bytes:
         return self.memo[chunk] if chunk.__class__ is str else chunk
@@ -289,13 +292,14 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def codec(path: str, times: int = 1) -> Codec:
+    if (path, times) not in _codecs:
+        _codecs[path, times] = Codec(path, times)
+        gc.freeze()  # what a worker has loaded need not be searched for garbage again and again
+    return _codecs[path, times]
 
 
 def forget() -> None:

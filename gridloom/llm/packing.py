@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridloom.llm.bpe import codec, forget
+from gridloom.llm.bpe import ALONE, codec, forget
 from gridloom.llm.common import small_batches
 
 WINDOW = 2048
@@ -122,11 +122,11 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     """One row per piece: where it starts in its document, how long it is, its sequence and place there.
 
     ``keep`` tells whether a worker keeps the vocabulary for its next task. It does not where other stages use the
-    same workers and need their memory.
+    same workers and need their memory; it then also remembers less of the words it has met.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, end = codec(path), np.array([end_id], "<u4")
+        code, end = codec(path, ALONE if keep else 1), np.array([end_id], "<u4")
         packer = Packer(TaskContext.get().partitionId() * SEQUENCES_PER_TASK, window)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
