@@ -67,6 +67,15 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).astype(np.int64)
 
 
+def often(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that occur ``least`` times or more, and how often; empties ``held`` and takes twice its size at most."""
+    rows = np.concatenate([np.empty(0, np.uint64), *held])
+    held.clear()
+    rows.sort()
+    grams = np.unique(rows[least - 1 :][rows[least - 1 :] == rows[: max(len(rows) - least + 1, 0)]])
+    return grams, np.searchsorted(rows, grams, "right") - np.searchsorted(rows, grams)
+
+
 def summaries(docs: DataFrame) -> DataFrame:
     """Per document its set size, the two sums and its keys; and per task the shingles frequent there."""
     names = ["doc_id", "n", "s1", "s2", "keys", "gram", "seen"]
@@ -76,9 +85,8 @@ def summaries(docs: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def frequent() -> pd.DataFrame:
-            grams, seen = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, int))
-            kept = seen >= REPORTED
-            made = pd.DataFrame({"gram": _signed(grams[kept]), "seen": seen[kept]}).reindex(columns=names).astype(kinds)
+            grams, seen = often(held, REPORTED)
+            made = pd.DataFrame({"gram": _signed(grams), "seen": seen}).reindex(columns=names).astype(kinds)
             return made.assign(keys=pd.Series([None] * len(made), dtype=object))
 
         for batch in batches:

@@ -354,3 +354,30 @@ def test_memories_are_bounded_and_change_nothing():
         for text, ids in zip(listed, code.encode_many(listed)):
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
     assert len(code.memo) <= 2 + len(code.added) and len(code.known_words) <= 2
+
+
+def test_frequent_hashes_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.RandomState(3)
+    for n in (0, 1, 2, 3, 5000):
+        rows = [rng.randint(0, 2000, size).astype(np.uint64) << np.uint64(50) for size in (n, n // 2, 0)]
+        grams, seen = np.unique(np.concatenate(rows), return_counts=True)
+        got = jaccard.often([r.copy() for r in rows], 3)
+        assert got[0].tolist() == grams[seen >= 3].tolist() and got[1].tolist() == seen[seen >= 3].tolist()
+    held = [rng.randint(0, 1 << 62, 100_000).astype(np.uint64) for _ in range(20)]
+    tracemalloc.start()
+    jaccard.often(held, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not held and most < 1.5 * 8 * 2_000_000  # beside the given rows; a sorted copy with indices takes four times that
+
+
+def test_encoder_with_full_memories():
+    """Chunks and words beyond what is remembered, met in one group or again later, give the library's ids."""
+    code = bpe.Codec(PATH, 0)
+    assert not code.memo.room and bpe.Codec(PATH, 4).memo.room == 4 * bpe.CHUNK_BYTES
+    texts = ["Wertzkeit andreinedor, ndthndheon!", "andreinedor x1y2 ertzkeit\u00df ndthndheon", None, "", "ndthndheon " * 40] * 3
+    for ids, text in zip(code.encode_many(texts), texts, strict=True):
+        assert ids.tolist() == code.library.encode(text or "", add_special_tokens=False).ids
+    assert not len(code.memo)
