@@ -41,8 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go from the texts; a document that consists of nothing else goes."""
-    made = suffixes.without_repeats(docs.select(*COLUMNS))
-    text = F.when(F.col("text").isNotNull(), suffixes.text_of("kept"))
+    made = suffixes.without_repeats(docs.select(*COLUMNS), decoded=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
     return (
         made.where("n_removed = 0 OR n_removed < n_bytes")
         .withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)

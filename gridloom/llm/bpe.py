@@ -18,6 +18,7 @@ import heapq
 import json
 import re
 import unicodedata
+import weakref
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -73,9 +74,10 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.words = regex.compile(splits[0])
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.memo = Memo(lambda chunk: b"".join(map(self.known_words.__getitem__, self._words(chunk))), times * CHUNK_BYTES)
-        self.known_words = Memo(self._word, times * WORD_BYTES)
-        self.fragments = Memo(lambda fragment: self.merge([self.inner[c] for c in fragment]), FRAGMENT_BYTES)
+        me = weakref.proxy(self)  # no cycle: what gc.freeze() has set aside is freed by its last reference alone
+        self.memo = Memo(lambda chunk: b"".join(map(me.known_words.__getitem__, me._words(chunk))), times * CHUNK_BYTES)
+        self.known_words = Memo(lambda word: me._word(word), times * WORD_BYTES)
+        self.fragments = Memo(lambda fragment: me.merge([me.inner[c] for c in fragment]), FRAGMENT_BYTES)
 
     def _tables(self) -> None:
         """By code point of the symbols: what stands together in some token, first ids, ranks of first pairs. Symbols
@@ -298,6 +300,7 @@ _codecs: dict[tuple[str, int], Codec] = {}
 def codec(path: str, times: int = 1) -> Codec:
     if (path, times) not in _codecs:
         _codecs[path, times] = Codec(path, times)
+        gc.collect()  # garbage would be set aside too, for good
         gc.freeze()  # what a worker has loaded need not be searched for garbage again and again
     return _codecs[path, times]
 

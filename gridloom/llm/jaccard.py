@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import mixed, partitions, small_batches, stored, word_hashes
+from gridloom.llm.common import freed, mixed, partitions, small_batches, stored, word_hashes
 from gridloom.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -81,6 +81,7 @@ def summaries(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n", "s1", "s2", "keys", "gram", "seen"]
     kinds = {"doc_id": "Int64", "n": "Int64", "s1": "Int64", "s2": "Int64", "gram": "Int64", "seen": "Int64"}
 
+    @freed
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
@@ -133,6 +134,7 @@ def compared(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     order = ["a", "salt", "role", "doc"]
     met = _near(docs, asked, "doc").select(*order, "text").repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions(*order)
 
+    @freed
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lead, heads = None, []
         for batch in batches:
@@ -247,6 +249,7 @@ def product_pairs(docs: DataFrame, marks: DataFrame, frequent: pd.DataFrame) ->
     blocks = 4 * partitions(spark)
     shared = spark.sparkContext.broadcast((grams, seen, cells))
 
+    @freed
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams, seen, cells = shared.value
         held, size = [], 0
@@ -269,6 +272,7 @@ def product_pairs(docs: DataFrame, marks: DataFrame, frequent: pd.DataFrame) ->
                 held, size = [], 0
         yield cut()
 
+    @freed
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
         for batch in batches:

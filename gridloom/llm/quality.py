@@ -27,12 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Memo, draw, remainder, small_batches
+from gridloom.llm.common import Memo, draw, freed, release, remainder, small_batches
 
 DIMENSIONS, NONZERO, REACH = 64, 6, 2
 SAMPLE, VOCABULARY, LEAST = 4000, 8192, 5
 HIDDEN, STEPS, RATE = 24, 400, 0.02
 FOLDS, HELD_OUT = 5, 0
+PART_ROWS = 4096
 THRESHOLD = 0.3
 AGAIN = "<again>"
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
@@ -87,6 +88,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+@freed
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per task and token: how often, and the sum of the index vectors around it."""
     split = Memo(tokens)
@@ -113,9 +115,14 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             used, starts, n = np.unique(line[order], return_index=True, return_counts=True)
             total[used] += np.add.reduceat(around[order], starts, axis=0)
             count[used] += n
-        yield pd.DataFrame({"token": list(names), "n": count, "around": list(total.astype(np.int64))})
+        del vectors, lines
+        listed = list(names)
+        for at in range(0, len(listed), PART_ROWS):  # on its way out a row is held several times over
+            part = slice(at, at + PART_ROWS)
+            yield pd.DataFrame({"token": listed[part], "n": count[part], "around": list(total[part].astype(np.int64))})
 
 
+@freed
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[str, list] = {}
     for batch in batches:
@@ -167,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
         around[: len(words)] = _unit(np.stack(list(words["around"])).astype(np.float64))
     table = own + around
 
+    @freed
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pool = Pooler(names, table)
         for batch in batches:
@@ -235,5 +243,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                 continue
             rows = [_logit(known["net"], pool(t)[None]) for t in texts]  # one by one: equal texts, equal scores
             yield pd.Series(_sigmoid(np.concatenate(rows) / known["heat"]))
+        del pool
+        release(collect=False)
 
     return docs.withColumn("score", rate("text")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

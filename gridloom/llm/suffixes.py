@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bwt import repeated
-from gridloom.llm.common import _BASE, _UNDO, _power, mixed, partitions, small_batches, stored
+from gridloom.llm.common import _BASE, _UNDO, _power, freed, mixed, partitions, release, small_batches, stored
 
 DEPTH, GRAM = 100, 40
 GRAMS = DEPTH - GRAM + 1
@@ -134,6 +134,7 @@ def found_starts(texts: DataFrame) -> DataFrame:
     parts = partitions(spark)
     blocks = 4 * parts
 
+    @freed
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
@@ -154,6 +155,7 @@ def found_starts(texts: DataFrame) -> DataFrame:
                 held, size = [], 0
         yield out()
 
+    @freed
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _gathered(batches, "block", "rows", PIECE):
             rows = settle(rows)
@@ -174,6 +176,7 @@ def found_starts(texts: DataFrame) -> DataFrame:
         "pieces",
     )
 
+    @freed
     def by_doc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _gathered(batches, "part", "rows", PIECE):
             rows = rows[np.argsort(rows["doc"], kind="stable")]
@@ -186,6 +189,7 @@ def found_starts(texts: DataFrame) -> DataFrame:
         "wanted",
     )
 
+    @freed
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held: dict[int, list[bytes]] = {}
@@ -196,6 +200,7 @@ def found_starts(texts: DataFrame) -> DataFrame:
                     held.setdefault(block, []).append(row.tobytes() + data[at : at + int(row["count"]) + DEPTH - 1])
             yield pd.DataFrame({"block": list(held), "rows": [b"".join(v) for v in held.values()]}).astype({"block": "int32"})
 
+    @freed
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for blob in _gathered(batches, "block", "rows", None):
             rows, strings = _unpacked(blob)
@@ -213,6 +218,7 @@ def found_starts(texts: DataFrame) -> DataFrame:
     fetched = _joined(texts, wanted, "wanted").select("text", "wanted").mapInPandas(fetch, "block int, rows binary")
     merged = fetched.repartition(parts, "block").sortWithinPartitions("block").mapInPandas(merge, kinds)
 
+    @freed
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _gathered(batches, "part", "rows", SPAN):
             rows = np.unique(rows)
@@ -285,8 +291,11 @@ def _joined(texts: DataFrame, side: DataFrame, column: str, how: str = "inner")
     return texts.join(side, "doc", how)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` plus ``kept`` (bytes), ``n_bytes``, ``n_removed``, ``n_spans``."""
+def without_repeats(docs: DataFrame, decoded: bool = False) -> DataFrame:
+    """All columns of ``docs`` plus ``kept`` (bytes), ``n_bytes``, ``n_removed``, ``n_spans``.
+
+    With ``decoded``, ``kept`` is text; a letter that a removal has cut in two is left out.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     columns = docs.columns
@@ -304,34 +313,28 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     whole = copies.select("doc", F.lit(None).cast("binary").alias("spans"), "copy")
     marks = spans.unionByName(whole).groupBy("doc").agg(F.max("spans").alias("spans"), F.max("copy").alias("copy"))
 
-    @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long")
-    def remove(text: pd.Series, spans: pd.Series, copy: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, s, c in zip(text, spans, copy):
-            data = _encoded(t)
-            pairs = np.frombuffer(s, "<u4").reshape(-1, 2) if isinstance(s, bytes) else np.empty((0, 2), "<u4")
-            if isinstance(c, str) and len(data) >= DEPTH:
-                pairs = np.array([[0, len(data)]], "<u4")
-            edges = [0, *pairs.ravel().tolist(), len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            out.append((kept, len(data), len(data) - len(kept), len(pairs)))
-        return pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans"])
-
+    def remove(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, spans, copy in batches:
+            out = []
+            for t, s, c in zip(text, spans, copy):
+                data = _encoded(t)
+                pairs = np.frombuffer(s, "<u4").reshape(-1, 2) if isinstance(s, bytes) else np.empty((0, 2), "<u4")
+                if isinstance(c, str) and len(data) >= DEPTH:
+                    pairs = np.array([[0, len(data)]], "<u4")
+                edges = [0, *pairs.ravel().tolist(), len(data)]
+                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                whole = kept.decode("utf-8", "ignore") if decoded else kept
+                out.append((whole, len(data), len(data) - len(kept), len(pairs)))
+            yield pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+        release(collect=False)
+
+    # not "deterministic": else a filter on its numbers takes it apart into two calls, each in a worker of its own
+    once = F.pandas_udf(remove, f"kept {'string' if decoded else 'binary'}, n_bytes long, n_removed long, n_spans long").asNondeterministic()
     marked = _joined(docs.withColumn("doc", F.col("doc_id").cast("long")), stored(marks, "removed"), "spans", "left")
-    made = marked.withColumn("_made", remove("text", "spans", "copy"))
+    made = marked.withColumn("_made", once("text", "spans", "copy"))
     return made.select(*columns, *[F.col(f"_made.{c}").alias(c) for c in ("kept", "n_bytes", "n_removed", "n_spans")])
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return without_repeats(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def text_of(kept: str) -> Column:
-    """Remaining bytes as text; a letter that a removal has cut in two is left out."""
-
-    @F.pandas_udf("string")
-    def decode(column: pd.Series) -> pd.Series:
-        return column.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
-
-    return decode(kept)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import weakref
 import zlib
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -381,3 +383,55 @@ def test_encoder_with_full_memories():
     for ids, text in zip(code.encode_many(texts), texts, strict=True):
         assert ids.tolist() == code.library.encode(text or "", add_special_tokens=False).ids
     assert not len(code.memo)
+
+
+def test_a_forgotten_vocabulary_is_freed():
+    """Also where the garbage collector has set it aside: packing loads one for each task of a worker."""
+    code = bpe.codec(PATH, 1)
+    assert [i.tolist() for i in code.encode_many(["ab cd, ab"])] == [code.library.encode("ab cd, ab", add_special_tokens=False).ids]
+    left = weakref.ref(code)
+    del code
+    bpe.forget()
+    assert left() is None
+
+
+def test_a_task_of_the_pipeline_needs_one_worker(spark):
+    """One call of Python between two shuffles: a second call takes a second worker, and each keeps memory."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        plan = stage(spark, docs, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        for part in plan.split("Exchange"):
+            assert len(re.findall(r"(?:ArrowEvalPython|MapInPandas)\b", part)) <= 1, plan
+
+
+def test_kept_bytes_as_text(spark):
+    """A passage whose cut goes through a letter, a null and an empty text; filters on the numbers change nothing."""
+    once = "".join(chr(0x430 + i * 7 % 32) + chr(97 + i * 5 % 26) for i in range(90))
+    rows = [(1, once), (2, "\u0444" + once[:88] + "\u0454" + "tail"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r for r in suffixes.without_repeats(docs).where("n_removed = 0 OR n_removed < n_bytes").collect()}
+    texts = {r.doc_id: r for r in suffixes.without_repeats(docs, decoded=True).where("n_removed = 0 OR n_removed < n_bytes").collect()}
+    assert kept.keys() == texts.keys() == {1, 2, 3, 4} and kept[2].n_removed > 0
+    for i, row in kept.items():
+        assert texts[i].kept == bytes(row.kept).decode("utf-8", "ignore")
+        assert (texts[i].n_bytes, texts[i].n_removed, texts[i].n_spans) == (row.n_bytes, row.n_removed, row.n_spans)
+
+
+def test_tasks_hand_memory_back(monkeypatch):
+    from gridloom.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "release", lambda collect=True: calls.append(collect))
+    made = common.freed(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert [next(made), next(made)] == [2, 4] and not calls
+    assert list(made) == [] and calls == [False]
+
+
+def test_words_around_come_in_parts(monkeypatch):
+    batch = pd.DataFrame({"text": ["a b c d e f g", None, "a a B, C?"]})
+    whole = pd.concat(list(quality._contexts(iter([batch]))))
+    monkeypatch.setattr(quality, "PART_ROWS", 3)
+    parts = list(quality._contexts(iter([batch])))
+    assert len(parts) > 2 and max(map(len, parts)) == 3
+    parts = pd.concat(parts)
+    assert [(t, n, a.tolist()) for t, n, a in parts.values] == [(t, n, a.tolist()) for t, n, a in whole.values]
