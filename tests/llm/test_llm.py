@@ -315,6 +315,74 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.where("vec_id IN (0, 1, 2)")).count() == 2
 
 
+def nearest_by_hand(rows: list[tuple], every: int = 100, k: int = 10) -> dict[int, list]:
+    data = [(i, np.array(v, float)) for i, v in rows]
+    found = {}
+    for q in {i for i, _ in data if i % every == 0}:
+        own = min((v for i, v in data if i == q), key=list)
+        near: dict[int, float] = {}
+        for i, v in data:
+            d = round(float(np.sqrt(((v - own) ** 2).sum())), 12)
+            near[i] = min(d, near.get(i, d)) if i != q else 0
+        found[q] = sorted((d, i) for i, d in near.items() if i != q)[:k]
+    return found
+
+
+def nearest_found(table, *args) -> dict[int, list]:
+    found: dict[int, list] = {}
+    for r in neighbours.nearest(table, *args).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((round(r.score, 12), r.vec_id))
+        assert r.rank == len(found[r.query_id])
+    return found
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_neighbours_in_many_dimensions(spark, monkeypatch, single):
+    """Lengths from tiny to huge, many equal vectors, far from the origin; all blocks are small."""
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.RandomState(11)
+    v = rng.randn(600, 64)
+    v[:200] = v[:200] * 1e-3 + 1000
+    v[200:260] = v[200]
+    v[300:310] *= 1e18
+    v[310:320] *= 1e-18
+    v = v.astype(np.float32) if single else v
+    rows = [(i, x.tolist()) for i, x in zip(rng.permutation(600).tolist(), v)]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{'float' if single else 'double'}>")
+    assert nearest_found(table, 20) == nearest_by_hand(rows, 20)
+
+
+def test_neighbours_with_ids_that_repeat(spark):
+    """Windows hold a few ids only, so bounds are loose: the k-th row of a block is not the k-th id."""
+    rng = np.random.RandomState(12)
+    rows = [(i % 30 * 10, rng.randn(8).tolist()) for i in range(30 * 60)]
+    rows += [(300 + i, (np.array(rows[0][1]) + 3 + i / 50).tolist()) for i in range(20)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert nearest_found(table) == nearest_by_hand(rows)
+
+
+def test_neighbours_move_a_vector_a_few_times(spark, monkeypatch):
+    """What is shuffled and stored follows the vectors and not their product with the queries."""
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    rng = np.random.RandomState(13)
+    rows = [(i, rng.randn(32).tolist()) for i in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(8).cache()
+    assert table.count() == 3000
+    bus, store = (getattr(spark.sparkContext._jsc.sc(), name)() for name in ("listenerBus", "statusStore"))
+    written, threshold = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a large table
+    try:
+        for _ in range(2):
+            bus.waitUntilEmpty(30_000)
+            written.append(store.executorSummary("driver").totalShuffleWrite())
+            if len(written) == 1:
+                assert neighbours.nearest(table, 10).count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        table.unpersist()
+    assert written[1] - written[0] < 20 * 3000 * 32 * 4
+
+
 def test_pipeline_stages_by_hand(spark):
     rows = [r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
