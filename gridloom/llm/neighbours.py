@@ -243,9 +243,26 @@ def _search(blocks: list[tuple], q: np.ndarray, qids: np.ndarray, bound: np.ndar
     # used again for each block: fresh memory of this size costs as much as what is done with it
     most = max(len(block[0]) for block in blocks)
     lefts, rights, products = (np.empty(shape, np.float32) for shape in ((most, q.shape[1]), q.shape, (TILE, TILE)))
+    pending: list[tuple[np.ndarray, ...]] = []
+
+    def merge() -> None:
+        """Take in the pairs that were found since the last time; limits that come late are only looser."""
+        if not sum(len(x) for x, _, _ in pending):
+            return
+        a, i, d = map(np.concatenate, zip(*pending))
+        pending.clear()
+        inside = d <= limit[a] * (1 + 1e-9)
+        a, i, d = a[inside], i[inside], d[inside]
+        rows = np.unique(a)
+        x, y = np.nonzero(np.isfinite(score[rows]))
+        x = rows[x]
+        row, i, d, rank = _best(np.append(a, x), np.append(i, found[x, y]), np.append(d, score[x, y]), k)
+        score[row, rank], found[row, rank] = d, i
+        limit[rows] = np.minimum(limit[rows], score[rows, k - 1])
+
     for ids, v, centre, radius, times in blocks:
         largest = size + np.sqrt((centre**2).sum()) + radius
-        unit = 2.0 ** -np.ceil(np.log2(largest))
+        unit = 2.0 ** min(120, -np.ceil(np.log2(largest)))  # finite in single precision
         middle, power = (centre * unit).astype(v.dtype), v.dtype.type(unit)
         if unit != last:
             scaled, last = q * power, unit
@@ -266,19 +283,11 @@ def _search(blocks: list[tuple], q: np.ndarray, qids: np.ndarray, bound: np.ndar
         a = near[a]
         other = qids[a] != ids[b]
         a, b = a[other], b[other]
-        if not len(a):
-            continue
-        d = np.concatenate([
-            np.sqrt(((v[b[i : i + PAIRS]].astype(np.float64) - q[a[i : i + PAIRS]]) ** 2).sum(axis=1)) for i in range(0, len(a), PAIRS)
-        ])
-        inside = d <= limit[a] * (1 + 1e-9)
-        a, b, d = a[inside], b[inside], d[inside]
-        rows = np.unique(a)
-        x, y = np.nonzero(np.isfinite(score[rows]))
-        x = rows[x]
-        row, i, s, rank = _best(np.append(a, x), np.append(ids[b], found[x, y]), np.append(d, score[x, y]), k)
-        score[row, rank], found[row, rank] = s, i
-        limit[rows] = np.minimum(limit[rows], score[rows, k - 1])
+        d = [np.sqrt(((v[b[i : i + PAIRS]].astype(np.float64) - q[a[i : i + PAIRS]]) ** 2).sum(axis=1)) for i in range(0, len(a), PAIRS)]
+        pending.append((a, ids[b], np.concatenate([*d, np.empty(0)])))
+        if sum(len(x) for x, _, _ in pending) >= len(q):
+            merge()
+    merge()
     a, b = np.nonzero(np.isfinite(score))
     return qids[a], found[a, b], score[a, b]
 
@@ -350,8 +359,7 @@ def _nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
     if not count:
         return asked.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     # windows of an id that has several vectors belong to any of them
-    windows = first_curve.union(others).where("query_id IS NOT NULL").select("query_id", "vec_id", "score").join(asked.where("one").select("query_id"), "query_id", "left_semi")
-
+    windows = first_curve.union(others).where("query_id IS NOT NULL").select("query_id", "vec_id", "score")
     by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
 
     def best(found: DataFrame) -> DataFrame:
@@ -362,12 +370,15 @@ def _nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
         bounds = best(found).groupBy("query_id").agg(F.max("score").alias("bound"), F.count("*").alias("n")).where(F.col("n") == k)
         return stored(asked.join(bounds, "query_id", "left").select("query_id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound")), "bounds")
 
-    def chunks(share: float) -> int:
+    def chunks(share: float, each: int) -> int:
+        """As many as hold that share of the vectors, and so many for each task that runs at a time at least."""
         held = rows * length * np.dtype(kind).itemsize * share
-        return max(-int(-held // CHUNK_BYTES), 2 * spark.sparkContext.defaultParallelism)
+        return max(-int(-held // CHUNK_BYTES), each * spark.sparkContext.defaultParallelism)
 
+    windows = stored(best(windows.join(asked.where("one").select("query_id"), "query_id", "left_semi")).drop("rank"), "windows")
     groups = -(-count // GROUP)
     first = F.pmod(F.xxhash64("block", F.lit("lead")), F.lit(LEAD)) == 0
-    lead = stored(best(searched(blocks.where(first), bounded(windows), groups, chunks(1 / LEAD), kind, k)).drop("rank"), "lead")
-    rest = searched(blocks.where(~first), bounded(windows.union(lead)), groups, chunks(1 - 1 / LEAD), kind, k)
+    # bounds are loose in the first round, and each chunk has to tighten them again: as few as keep all tasks busy
+    lead = stored(best(searched(blocks.where(first), bounded(windows), groups, chunks(1 / LEAD, 1), kind, k)).drop("rank"), "lead")
+    rest = searched(blocks.where(~first), bounded(windows.union(lead)), groups, chunks(1 - 1 / LEAD, 2), kind, k)
     return best(lead.union(rest))
